@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import encode, mix, split
+from brindle.llm import encode, mix, neardup, split
 from brindle.plans.physical import spread, table
 
 
+def _near_chunks(spark: SparkSession, d: str):
+    return neardup.similar_texts(spread(table(spark, d, "chunks").select("chunk_no", "text"), "chunk_no"), "chunk_no", words=3, threshold=0.5, least_words=40)
+
+
+def _near_names(spark: SparkSession, d: str):
+    names = table(spark, d, "documents").select("doc_id", neardup.file_stem(F.col("filename")).alias("stem"))
+    return neardup.similar_strings(names, "doc_id", "stem", threshold=0.85)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = neardup.unfold(*_near_chunks(spark, d)).select(F.lit("chunks.text").alias("field"), "id_a", "id_b")
+    names = neardup.unfold(*_near_names(spark, d)).select(F.lit("documents.filename").alias("field"), "id_a", "id_b")
+    return texts.unionByName(names)
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    texts = neardup.classes(*_near_chunks(spark, d)).withColumn("field", F.lit("chunks.text"))
+    return texts.unionByName(neardup.classes(*_near_names(spark, d)).withColumn("field", F.lit("documents.filename")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _oversized(spark, d, split.split_items).select("item_table", "item_id", F.when(F.col("forced"), "forced").otherwise("natural").alias("cut"))
 
@@ -37,7 +57,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_ids, p7_mix, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_pieces, p6_ids, p7_mix, p7_report)}
 
 SQL = {
     "p4_found": r"""
