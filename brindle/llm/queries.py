@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import encode, mix, neardup, split
+from brindle.llm import encode, mix, neardup, quality, sentences, split
 from brindle.plans.physical import spread, table
 
 
@@ -29,6 +29,20 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return texts.unionByName(neardup.classes(*_near_names(spark, d)).withColumn("field", F.lit("documents.filename")))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id")
+    return quality.text_statistics(docs, "doc_id").where("form != 'prose'").select("doc_id", "form")
+
+
+def p2_stats(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id")
+    chunks = spread(table(spark, d, "chunks").select("chunk_no", "text"), "chunk_no")
+    parts = []
+    for name, df, key, lang in (("documents", docs, "doc_id", "lang"), ("chunks", chunks, "chunk_no", None)):
+        parts.append(quality.text_statistics(df, key, lang=lang, dictionary=docs).withColumnRenamed(key, "item_id").withColumn("item_table", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _oversized(spark, d, split.split_items).select("item_table", "item_id", F.when(F.col("forced"), "forced").otherwise("natural").alias("cut"))
 
@@ -57,7 +71,18 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_pieces, p6_ids, p7_mix, p7_report)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    wanted = docs.join(table(spark, d, "segment_tasks").select("doc_id"), "doc_id", "left_semi")
+    return sentences.split_sentences(spread(wanted, "doc_id"), sentences.fit(docs), "doc_id").select("doc_id", "sent_end")
+
+
+def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return sentences.split_sentences(spread(docs, "doc_id"), sentences.fit(docs), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_stats, p4_found, p4_pieces, p6_ids, p7_mix, p7_report, p8_found, p8_sentences)}
 
 SQL = {
     "p4_found": r"""
