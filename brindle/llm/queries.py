@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import encode, mix, neardup, quality, sentences, split
+from brindle.llm import encode, forest, mix, neardup, quality, sentences, split
 from brindle.plans.physical import spread, table
 
 
@@ -43,6 +43,16 @@ def p2_stats(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _near_vectors(spark: SparkSession, d: str) -> DataFrame:
+    vectors = spread(table(spark, d, "vector_store").select("vec_id", "embeddings"), "vec_id")
+    return forest.nearest(*forest.close_pairs(vectors, "vec_id", "embeddings", least=0.9))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = _near_vectors(spark, d)
+    return near.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b")).distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _oversized(spark, d, split.split_items).select("item_table", "item_id", F.when(F.col("forced"), "forced").otherwise("natural").alias("cut"))
 
@@ -82,7 +92,7 @@ def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(spread(docs, "doc_id"), sentences.fit(docs), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_stats, p4_found, p4_pieces, p6_ids, p7_mix, p7_report, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_stats, p3_found, p4_found, p4_pieces, p6_ids, p7_mix, p7_report, p8_found, p8_sentences)}
 
 SQL = {
     "p4_found": r"""
