@@ -232,27 +232,32 @@ def similar_strings(df: DataFrame, key: str, value: str, threshold: float = 0.85
 
     order = sc.broadcast(rarity(hashed_counts(names, all_hashes, 18)))
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def rows(batch: pa.RecordBatch, chunks: bool) -> pa.RecordBatch:
         ids = column(batch, "id").to_pylist()
-        token, own, place, size, chunk = [], [], [], [], []
+        token, own, at, mark = [], [], [], []
         rare = order.value
         for i, s in zip(ids, strings(batch, "name")):
             g, n = grams(s), len(s)
-            edits = int(slack * n + 1e-9)
-            chosen = sorted(range(0, n, q), key=lambda p: (rare[g[p] & (len(rare) - 1)], g[p]))[: edits + 1]
-            places = [*range(n), *chosen]
+            places = range(n)
+            if chunks:
+                edits = int(slack * n + 1e-9)
+                places = sorted(range(0, n, q), key=lambda p: (rare[g[p] & (len(rare) - 1)], g[p]))[: edits + 1]
+            bits = 0
+            for pair in {s[k : k + 2] for k in range(n - 1)}:
+                bits |= 1 << (_words[pair] & 63)
             token += [g[p] for p in places]
-            place += places
+            at += [p << 32 | n for p in places]
             own += [i] * len(places)
-            size += [n] * len(places)
-            chunk += [False] * n + [True] * len(chosen)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(token, np.uint64).view(np.int64)), pa.array(own, pa.int64()), pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(chunk, pa.bool_())], ["token", "id", "place", "size", "chunk"])
-
-    every = map_batches(names, rows, "token long, id long, place int, size int, chunk boolean")
-    x, y = every.where("not chunk").alias("x"), every.where("chunk").alias("y")
-    shift, longer = F.expr("x.place - y.place"), F.expr("x.size - y.size")
-    edits = F.floor(F.col("y.size") * slack + 1e-9)
-    near = (F.col("x.token") == F.col("y.token")) & (F.expr("x.size < y.size or (x.size = y.size and x.id < y.id)")) & (F.abs(shift) + F.abs(longer - shift) <= edits)
+            mark += [bits] * len(places)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(token, np.uint64).view(np.int64)), pa.array(own, pa.int64()), pa.array(at, pa.int64()), pa.array(np.array(mark, np.uint64).view(np.int64))], ["token", "id", "at", "mark"])
+
+    schema = "token long, id long, at long, mark long"
+    x, y = map_batches(names, lambda b: rows(b, False), schema).alias("x"), map_batches(names, lambda b: rows(b, True), schema).alias("y")
+    x_size, y_size = F.expr("x.at & 4294967295"), F.expr("y.at & 4294967295")
+    shift, longer = F.expr("shiftright(x.at, 32) - shiftright(y.at, 32)"), x_size - y_size
+    edits = F.floor(y_size * slack + 1e-9)
+    near = (F.col("x.token") == F.col("y.token")) & ((longer < 0) | ((longer == 0) & (F.col("x.id") < F.col("y.id")))) & (F.abs(shift) + F.abs(longer - shift) <= edits)
+    near = near & (F.expr("bit_count(x.mark ^ y.mark)") <= edits * 4)  # an edit changes four pairs of letters at most
     pairs = x.join(y, near).select(F.least("x.id", "y.id").alias("rep_a"), F.greatest("x.id", "y.id").alias("rep_b")).distinct()
     pairs = pairs.join(names.select(F.col("id").alias("rep_a"), F.col("name").alias("name_a")), "rep_a").join(names.select(F.col("id").alias("rep_b"), F.col("name").alias("name_b")), "rep_b")
     longest = F.greatest(F.length("name_a"), F.length("name_b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import encode, forest, mix, neardup, quality, sentences, split
+from brindle.llm import encode, forest, mix, neardup, quality, scans, sentences, split
 from brindle.plans.physical import spread, table
 
 
@@ -69,6 +69,20 @@ def _oversized(spark: SparkSession, d: str, operator) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _scan_reader(spark: SparkSession, d: str):
+    return scans.fit_reader(table(spark, d, "documents"), table(spark, d, "proofread_pages"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return scans.find_noise(docs, _scan_reader(spark, d), "doc_id")
+
+
+def p5_pages(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return scans.repair(docs, _scan_reader(spark, d), "doc_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id")
 
@@ -92,7 +106,7 @@ def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(spread(docs, "doc_id"), sentences.fit(docs), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_stats, p3_found, p4_found, p4_pieces, p6_ids, p7_mix, p7_report, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_stats, p3_found, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p7_mix, p7_report, p8_found, p8_sentences)}
 
 SQL = {
     "p4_found": r"""
