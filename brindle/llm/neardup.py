@@ -20,7 +20,7 @@ from brindle.llm.sketches import IdFilter, hashed_counts, rarity
 from brindle.plans.physical import cut_lineage
 
 COUNT_BITS = 22
-MARK_BITS = 512
+SHARED = 4
 WORD_MEMO = 500_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -82,7 +82,7 @@ def _sets(texts: list[str | None], order: np.ndarray, n: int, least_words: int):
 
 
 def _prefix(size: int, t: float) -> int:
-    return size - math.ceil(t * size - 1e-9) + 1
+    return min(size, size - math.ceil(t * size - 1e-9) + SHARED)
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -108,8 +108,9 @@ def similar_texts(df: DataFrame, key: str, text: str = "text", words: int = 5, t
 
     Steps: (1) shingle counts by hash in a fixed 2^22 table, to order rare first; (2) the smallest id of
     each set, by 128-bit hash; (3) prefix tokens of representatives, self-joined on the token with length
-    and positional filters; (4) distinct pairs, thinned by 512-bit marks of the sets, joined with the sets
-    of the records that still occur in any pair, suffix filter, exact overlap. Hot prefix tokens are split by AQE's skew join.
+    and positional filters; prefixes are 3 tokens longer than one common token needs, so a pair must have
+    4 in common there (all it needs, where that is fewer); (4) the pairs left, once each, joined with the
+    sets of the records that occur in any of them, suffix filter, exact overlap. Hot prefix tokens are split by AQE's skew join.
     """
     texts = df.select(df[key].cast("long").alias("id"), df[text].alias("text")).where("id is not null and text is not null")
     sc = df.sparkSession.sparkContext
@@ -119,19 +120,14 @@ def similar_texts(df: DataFrame, key: str, text: str = "text", words: int = 5, t
     order = sc.broadcast(rarity(counts))
 
     def signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, sigs, sizes, marks = [], [], [], []
+        rows, sigs = [], []
         for row, s in _sets(strings(batch, "text"), order.value, n, least_words):
             rows.append(row)
             sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
-            sizes.append(len(s))
-            bits = np.zeros(MARK_BITS, np.uint8)
-            bits[((s * _M2) >> np.uint64(64 - MARK_BITS.bit_length() + 1)).astype(np.int64)] = 1
-            marks.append(np.packbits(bits).view(np.int64).tolist())
-        return pa.RecordBatch.from_arrays([column(batch, "id").take(pa.array(rows, pa.int64())), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64()))], ["id", "sig", "size", "marks"])
-
-    signed = cut_lineage(map_batches(texts, signatures, "id long, sig binary, size int, marks array<long>"))
-    firsts = signed.groupBy("sig").agg(F.min("id").alias("rep"))
-    members = cut_lineage(signed.select("id", "sig").join(firsts, "sig").select("rep", "id"))
+        return pa.RecordBatch.from_arrays([column(batch, "id").take(pa.array(rows, pa.int64())), pa.array(sigs, pa.binary())], ["id", "sig"])
+
+    signed = map_batches(texts, signatures, "id long, sig binary")
+    members = cut_lineage(signed.join(signed.groupBy("sig").agg(F.min("id").alias("rep")), "sig").select("rep", "id"))
     copies = members.where("id != rep").select("id")
     maybe = sc.broadcast(IdFilter.of(copies))
 
@@ -163,15 +159,11 @@ def similar_texts(df: DataFrame, key: str, text: str = "text", words: int = 5, t
     la, lb = F.expr("a.at & 4294967295"), F.expr("b.at & 4294967295")
     pa_, pb = F.expr("shiftright(a.at, 32)"), F.expr("shiftright(b.at, 32)")
     need = F.ceil((la + lb) * (t / (1 + t)) - 1e-6)
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.least(la, lb) >= F.greatest(la, lb) * t - 1e-6) & (F.least(la - pa_, lb - pb) >= need))
-    pairs = pairs.select(F.col("a.id").alias("rep_a"), F.col("b.id").alias("rep_b")).distinct()
-
-    # Bitmap form of the suffix filter: two sets differ by at least as many tokens as their marks by bits.
-    for side in ("a", "b"):
-        pairs = pairs.join(signed.select(F.col("id").alias(f"rep_{side}"), F.col("size").alias(f"size_{side}"), F.col("marks").alias(f"marks_{side}")), f"rep_{side}")
-    differ = F.expr(" + ".join(f"bit_count(marks_a[{i}] ^ marks_b[{i}])" for i in range(MARK_BITS // 64)))
-    sizes = F.col("size_a") + F.col("size_b")
-    pairs = cut_lineage(pairs.where((sizes - differ) / 2 >= F.ceil(sizes * (t / (1 + t)) - 1e-6)).select("rep_a", "rep_b"))
+    shared = F.least(need, F.lit(SHARED))
+    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.least(la, lb) >= F.greatest(la, lb) * t - 1e-6) & (F.least(la - pa_, lb - pb) > need - shared)
+    pairs = a.join(b, near).select(F.col("a.id").alias("rep_a"), F.col("b.id").alias("rep_b"), (1 / shared).alias("part"))
+    pairs = pairs.groupBy("rep_a", "rep_b").agg(F.sum("part").alias("parts")).where("parts >= 0.999999")
+    pairs = cut_lineage(pairs.select("rep_a", "rep_b"))
 
     wanted = sc.broadcast(IdFilter.of(pairs))
 
