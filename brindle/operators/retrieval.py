@@ -69,12 +69,14 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
     length, with nulls or without direction are left out.
     """
 
-    def matrix(rows: list, ids: list) -> tuple[np.ndarray, np.ndarray]:
-        good = [(i, v) for i, v in zip(ids, rows) if v is not None and len(v) == dim and None not in v]
-        x = np.array([v for _, v in good], dtype=np.float64).reshape(-1, dim)
+    def matrix(v: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = v.offsets.to_numpy()
+        right = np.flatnonzero((np.diff(at) == dim) & v.is_valid().to_numpy(zero_copy_only=False))
+        flat = v.values.to_numpy(zero_copy_only=False).astype(np.float64)  # null elements become NaN
+        x = flat[at[right][:, None] + np.arange(dim)] if len(right) else np.zeros((0, dim))
         norm = np.linalg.norm(x, axis=1)
         keep = np.isfinite(norm) & (norm > 0)
-        return np.array([i for i, _ in good], dtype=np.int64)[keep], x[keep] / norm[keep, None]
+        return ids[right][keep], x[keep] / norm[keep, None]
 
     sc = vectors.sparkSession.sparkContext
     parts, block = [], []
@@ -86,12 +88,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
             block = []
     blocks.append(block)
     for one in blocks:
-        shared = sc.broadcast(matrix([v for _, v in one], [i for i, _ in one]))
+        shared = sc.broadcast(matrix(pa.array([v for _, v in one], pa.list_(pa.float64())), np.array([i for i, _ in one], dtype=np.int64)))
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q_ids, q = shared.value
             for b in batches:
-                ids, x = matrix(b.column(1).to_pylist(), b.column(0).to_pylist())
+                ids, x = matrix(b.column(1), b.column(0).to_numpy())
                 if not len(ids) or not len(q_ids):
                     continue
                 order = np.argsort(ids, kind="stable")

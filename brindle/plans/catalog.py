@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 from brindle.operators import answers as A
 from brindle.operators import chunking, retrieval as R
-from brindle.plans.physical import table
+from brindle.plans.physical import spread, table
 
 FETCH, TOP = 20, 5
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_no", "chunk_id", "text", "source", "chunk_index")
+    return spread(table(spark, d, "chunks").select("chunk_no", "chunk_id", "text", "source", "chunk_index"), "chunk_no")
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,7 @@ def q01_load_documents(spark, d):
 
 
 def q02_chunk_documents(spark, d):
-    out = chunking.chunk_documents(table(spark, d, "documents").select("doc_id", "filename", "text"))
+    out = chunking.chunk_documents(spread(table(spark, d, "documents").select("doc_id", "filename", "text"), "doc_id"))
     return out.select("doc_id", "chunk_index", "total_chunks", "chunk_id", F.md5("text").alias("text_md5"))
 
 
@@ -53,7 +53,7 @@ def q06_bm25_search(spark, d):
 
 
 def q07_vector_search(spark, d):
-    v = table(spark, d, "vector_store").select(F.col("vec_id").alias("chunk_no"), F.col("embeddings").alias("v"))
+    v = spread(table(spark, d, "vector_store").select(F.col("vec_id").alias("chunk_no"), F.col("embeddings").alias("v")), "chunk_no")
     q = v.where("chunk_no % 50 = 0").select(F.col("chunk_no").alias("query_id"), "v")
     return R.knn(v, q, 10, 384).select("query_id", F.col("chunk_no").alias("vec_id"), F.round("score", 6).alias("vector_score"), "rank")
 
