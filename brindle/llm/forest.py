@@ -1,8 +1,9 @@
-"""Approximate nearest neighbours by a forest of sorted hash strings."""
+"""Nearest neighbours by exact blocked search within the cells that can hold them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,8 @@ from brindle.functions.arrow import column, map_batches
 from brindle.llm.sketches import IdFilter
 from brindle.plans.physical import cut_lineage
 
-DIM, TREES, WORDS, REACH, SEED = 384, 12, 4, 128, 7
-
-
-def planes(dim: int, trees: int, seed: int) -> np.ndarray:
-    """Random hyperplanes, 64 for each tree."""
-    return np.random.default_rng(seed).standard_normal((dim, trees * 64)).astype(np.float32)
+DIM, SEED = 384, 7
+SAMPLE, TILE, HELD, STEP = 8192, 16384, 16384, 512  # vectors in the sample (about), a tile, a packing buffer, a product
 
 
 def usable(batch: pa.RecordBatch, name: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,24 +40,92 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _hashes(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-    bits = np.packbits(_unit(x).astype(np.float32) @ p > 0, axis=1)
-    return np.ascontiguousarray(bits).view(">u8").astype(np.uint64)
+def _pack(x: np.ndarray) -> bytes:
+    """Float32 rows without loss, the four bytes of the numbers apart: they compress well where numbers are rounded."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, n: int, dim: int) -> np.ndarray:
+    planes_ = np.frombuffer(pa.decompress(blob, decompressed_size=n * dim * 4, codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes_.T).view(np.float32).reshape(n, dim)
+
+
+def _sums(x: np.ndarray, home: np.ndarray, cells: int) -> np.ndarray:
+    return (home == np.arange(cells)[:, None]).astype(np.float32) @ x
+
 
+class Cells:
+    """Centres of a sample's k-means, and what is known of the vectors that have each as their nearest.
 
-def close_pairs(df: DataFrame, key: str, vector: str, least: float, dim: int = DIM, trees: int = TREES, reach: int = REACH, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(links, members): links (rep_a, rep_b, cosine) of different vectors with cosine >= ``least``; members (rep, id).
+    ``wanted`` names the cells that may hold one of a vector's k most similar others. The cosines to a cell's
+    members are taken to spread normally about that to their mean; what the home cell gives is the bound that
+    another cell must reach. Cells are left out only while those left out are expected to hold under ``LOST``
+    of the k. A cell is asked too where a vector at cosine CLOSE may have it as its home.
+    """
 
-    Each tree is the array of its 64-bit hash strings in order. A vector's longest-prefix matches are its
-    neighbours there; going up the tree one level widens the stretch of the array. The stretch taken is the
-    ``reach`` next strings (each pair is met from its earlier end), the same for every tree, so all trees
-    ascend together until that many candidates are seen. The 256 bits of the first four trees then
-    estimate the angle, and pairs within 3.6 standard errors of the wanted one are verified exactly.
+    LOST, CLOSE, SAFE, Z = 0.01, 0.9, 1.15, 5.0
+
+    def __init__(self, sample: np.ndarray, n: int, k: int, seed: int):
+        self.k, rng = k, np.random.default_rng(seed)
+        count = int(np.clip(round(np.sqrt(n) / 4), 1, 2048)) if n > 2000 else 1
+        c = sample[rng.choice(len(sample), min(count, len(sample)), replace=False)]
+        for _ in range(12 if len(c) > 1 else 0):
+            sums = _sums(sample, (sample @ c.T).argmax(axis=1), len(c))
+            norm = np.linalg.norm(sums, axis=1, keepdims=True)
+            c = np.where(norm > 0, sums / np.maximum(norm, 1e-30), c)
+        self.centres = np.ascontiguousarray(c, np.float32)
+        rest = sample - c[(sample @ c.T).argmax(axis=1)]
+        values = np.linalg.eigvalsh((rest.T @ rest / len(rest)).astype(np.float64))
+        self.free = max(1.0, float(values.sum() ** 2 / max((values**2).sum(), 1e-30)))  # directions that the rest really varies in
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.centres.T).argmax(axis=1)
+
+    def complete(self, sizes: np.ndarray, sums: np.ndarray) -> None:
+        self.sizes = sizes
+        self.means = (sums / np.maximum(sizes, 1)[:, None]).astype(np.float32)
+        self.spread = self.SAFE * np.sqrt(np.maximum(1 - (self.means.astype(np.float64) ** 2).sum(axis=1), 1e-6) / self.free)
+        share = np.clip(self.k / np.maximum(sizes - 1, 1), 1e-12, 1)
+        self.reach = np.array([_quantile(q) for q in share])  # of the k-th of a cell's members, in spreads
+        gaps = np.maximum(2 - 2 * self.centres @ self.centres.T, 0)
+        self.apart = np.sqrt(gaps) * np.sqrt(2 - 2 * self.CLOSE) * min(1.0, self.Z / np.sqrt(self.free))
+
+    def wanted(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """A row of flags for each vector, true at its home cell."""
+        rows, about, near = np.arange(len(x)), x @ self.means.T, x @ self.centres.T
+        least = about[rows, home] + self.spread[home] * self.reach[home] / self.SAFE
+        expected = self.sizes * _tail((least[:, None] - about) / self.spread)
+        order = np.argsort(expected, axis=1)
+        out = np.zeros(expected.shape, bool)
+        np.put_along_axis(out, order, np.cumsum(np.take_along_axis(expected, order, 1), axis=1) > self.LOST * self.k, 1)
+        out |= near[rows, home][:, None] - near <= self.apart[home]
+        out |= (self.sizes[home] <= self.k)[:, None]  # the home cell alone gives no bound
+        out[rows, home] = True
+        return out & (self.sizes > 0)
+
+
+def _tail(z: np.ndarray) -> np.ndarray:
+    """Share of a normal distribution above z, within 1e-7 (Abramowitz and Stegun 26.2.17)."""
+    a = np.abs(z)
+    t = 1 / (1 + 0.2316419 * a)
+    q = np.exp(-a * a / 2) / np.sqrt(2 * np.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.where(z >= 0, q, 1 - q)
+
+
+def _quantile(share: float) -> float:
+    return NormalDist().inv_cdf(1 - share) if share < 1 else -40.0
+
+
+def close_pairs(df: DataFrame, key: str, vector: str, least: float | None = None, dim: int = DIM, k: int = 10, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(links, members): links (rep, other, cosine) to the k most similar different vectors, with cosine >= ``least`` if given; members (rep, id).
+
+    Vectors are shared out to the cells of a sample's k-means. Each is compared exactly, in blocks, with all
+    members of its own cell and of every cell that may hold one of its k (``Cells.wanted``); none is capped by
+    a window, so a group of any size and density is searched whole. A cell with over TILE members or askers is
+    parted into that many more tiles. Cosines are verified in double precision.
 
     Null, incomplete, non-finite and all-zero vectors are left out; length plays no part. Vectors equal in
-    all numbers count as one record with several ``members``. Ties of hashes are ordered by id. Rows are
-    range-partitioned by (tree, hash, id), which splits even a stretch of equal hashes; stretches aren't
-    followed over partition borders.
+    all numbers count as one record with several ``members``. Ties are ordered by id.
     """
     vectors = df.select(df[key].cast("long").alias("id"), df[vector].alias("v")).where("id is not null and v is not null")
     spark = df.sparkSession
@@ -79,77 +144,152 @@ def close_pairs(df: DataFrame, key: str, vector: str, least: float, dim: int = D
     def passing(of, wanted: bool):
         return lambda b: b.filter(pa.array(of.value.may_hold(column(b, "id").to_numpy(zero_copy_only=False)) == wanted))
 
-    p = sc.broadcast(planes(dim, trees, seed))
-
-    def strings_of(cleared: bool):
-        def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            if cleared:
-                batch = passing(maybe, False)(batch)
-            rows, x = usable(batch, "v", dim)
-            if not len(rows):
-                return None
-            h = _hashes(x, p.value).view(np.int64)
-            ids = column(batch, "id").to_numpy(zero_copy_only=False)[rows]
-            n = len(rows)
-            # signed order of the strings is as good as any other: equal prefixes stay together
-            marks = [pa.array(np.tile(h[:, k], trees)) for k in range(WORDS)]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(trees, dtype=np.int32), n)), pa.array(h.T.reshape(-1)), pa.array(np.tile(ids, trees)), *marks], ["tree", "hash", "id", *[f"m{k}" for k in range(WORDS)]])
-
-        return kernel
-
-    schema = "tree int, hash long, id long, " + ", ".join(f"m{k} long" for k in range(WORDS))
+    sure = map_batches(vectors, passing(maybe, False), "id long, v array<float>")
     unsure = map_batches(vectors, passing(maybe, True), "id long, v array<float>").join(copies, "id", "left_anti")
-    arrays = map_batches(vectors, strings_of(True), schema).unionByName(map_batches(unsure, strings_of(False), schema))
-    parts = max(trees, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    arrays = arrays.repartitionByRange(parts, "tree", "hash", "id").sortWithinPartitions("tree", "hash", "id")
+    reps = sure.unionByName(unsure)
+    n = members.where("rep = id").count()
+    links_of = "rep long, other long, cosine double"
+    if n < 2:
+        return spark.createDataFrame([], links_of), members
+
+    every = max(1, n // SAMPLE)
+
+    def sampled(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids = column(batch, "id").to_numpy(zero_copy_only=False)
+        b = batch.filter(pa.array((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(every) == 0))
+        _, x = usable(b, "v", dim)
+        return pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([_pack(x)], pa.binary())], ["n", "blob"]) if len(x) else None
+
+    got = map_batches(sure, sampled, "n long, blob binary").collect() or map_batches(reps.limit(SAMPLE), sampled, "n long, blob binary").collect()
+    sample = np.concatenate([_unpack(r.blob, r.n, dim) for r in got]) if got else np.ones((1, dim), np.float32)
+    cells = Cells(_unit(sample[: 2 * SAMPLE]).astype(np.float32), n, k, seed)
+    first = sc.broadcast(cells)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, sums = np.zeros(len(first.value.centres), np.int64), np.zeros(first.value.centres.shape)
+        for batch in batches:
+            _, x = usable(batch, "v", dim)
+            if len(x):
+                x = _unit(x).astype(np.float32)
+                home = first.value.home(x)
+                sums += _sums(x, home, len(sums))
+                sizes += np.bincount(home, minlength=len(sizes))
+        at = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sizes[at]), pa.array([r.tobytes() for r in sums[at]], pa.binary())], ["cell", "n", "total"])
+
+    sizes, sums = np.zeros(len(cells.centres), np.int64), np.zeros(cells.centres.shape)
+    for r in reps.mapInArrow(totals, "cell long, n long, total binary").toLocalIterator():
+        sizes[r.cell] += r.n
+        sums[r.cell] += np.frombuffer(r.total)
+    cells.complete(sizes, sums)
+    ready = sc.broadcast(cells)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(ready.value.sizes), np.int64)
+        for batch in batches:
+            _, x = usable(batch, "v", dim)
+            for i in range(0, len(x), STEP):
+                u = _unit(x[i : i + STEP]).astype(np.float32)
+                out += ready.value.wanted(u, ready.value.home(u)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(out)), pa.array(out[out > 0])], ["cell", "n"])
+
+    askers = np.zeros(len(sizes), np.int64)
+    for r in reps.mapInArrow(asked, "cell long, n long").toLocalIterator():
+        askers[r.cell] += r.n
+    parts = sc.broadcast((-(-sizes // TILE), -(-askers // TILE)))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, turns = parts.value
+        ids, raw, held = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            i, x = np.concatenate(ids), np.concatenate(raw)
+            salt = (i.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            homes, wants = np.empty(len(i), np.int64), np.empty((len(i), len(blocks)), bool)
+            for a in range(0, len(i), STEP):
+                u = _unit(x[a : a + STEP]).astype(np.float32)
+                homes[a : a + STEP] = h = ready.value.home(u)
+                wants[a : a + STEP] = ready.value.wanted(u, h)
+            for c in np.flatnonzero(wants.any(axis=0)):
+                own, ask = np.flatnonzero(homes == c), np.flatnonzero(wants[:, c])
+                rows = [(b, t, 0, own[salt[own] % blocks[c] == b]) for b in range(blocks[c]) for t in range(turns[c])]
+                rows += [(b, t, 1, ask[salt[ask] % turns[c] == t]) for b in range(blocks[c]) for t in range(turns[c])]
+                if blocks[c] == turns[c] == 1:  # members are sent once and ask where they stand
+                    rows[1] = (0, 0, 1, ask[homes[ask] != c])
+                for b, t, role, at in rows:
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array([f"{c}/{b}/{t}"]), pa.array([role], pa.int32()), pa.array([i[at].tolist()], pa.list_(pa.int64())), pa.array([_pack(x[at])], pa.binary())], ["tile", "role", "ids", "blob"])
 
-    angle = np.degrees(np.arccos(least)) / 180
-    n_bits = 64 * WORDS
-    limit = int(n_bits * angle + 3.6 * np.sqrt(n_bits * angle * (1 - angle)))
+        for batch in batches:
+            rows, x = usable(batch, "v", dim)
+            ids.append(column(batch, "id").to_numpy(zero_copy_only=False)[rows]), raw.append(x)
+            held += len(x)
+            if held >= HELD:
+                yield from flush()
+                ids, raw, held = [], [], 0
+        if held:
+            yield from flush()
+
+    tiles = reps.mapInArrow(packed, "tile string, role int, ids array<long>, blob binary")
+    tiles = tiles.repartition(max(2 * sc.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "tile").sortWithinPartitions("tile", "role")
+    alone = {f"{c}/0/0" for c in np.flatnonzero((parts.value[0] == 1) & (parts.value[1] == 1))}
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, ids, raw, unit = None, [], [], []
+
+        def joined() -> None:
+            if len(ids) > 1:
+                ids[:], raw[:], unit[:] = [np.concatenate(ids)], [np.concatenate(raw)], [np.concatenate(unit)]
+
+        def ask(i: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            joined()
+            if ids:
+                for a in range(0, len(i), STEP):
+                    yield _best(i[a : a + STEP], x[a : a + STEP], ids[0], raw[0], unit[0], k, least)
+
+        def itself() -> Iterator[pa.RecordBatch]:
+            if tile in alone and ids:
+                joined()
+                yield from ask(ids[0], raw[0])
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
         for batch in batches:
-            tree, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            marks = np.stack([batch.column(3 + k).to_numpy().view(np.uint64) for k in range(WORDS)])
-            if held is not None:
-                tree, ids, marks = np.concatenate([held[0], tree]), np.concatenate([held[1], ids]), np.concatenate([held[2], marks], axis=1)
-            fresh = len(ids) - batch.num_rows
-            left, right = [], []
-            for o in range(1, min(reach, len(ids) - 1) + 1):
-                at = max(0, fresh - o)  # the later of the two is new; the other may be carried over
-                off = np.bitwise_count(marks[0, at:-o] ^ marks[0, at + o :])
-                close = np.flatnonzero(off <= min(limit, 64))
-                for k in range(1, WORDS):
-                    if not len(close):
-                        break
-                    off = off[close] if k == 1 else off[keep]
-                    off = off + np.bitwise_count(marks[k, at + close] ^ marks[k, at + close + o]).astype(np.uint16)
-                    keep = off <= limit
-                    close = close[keep]
-                if len(close):
-                    close = close + at
-                    close = close[tree[close] == tree[close + o]]
-                    left.append(ids[close]), right.append(ids[close + o])
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["rep_a", "rep_b"])
-            held = [tree[-reach:], ids[-reach:], marks[:, -reach:]]
-
-    pairs = cut_lineage(arrays.mapInArrow(neighbours, "rep_a long, rep_b long").distinct())
-    wanted = sc.broadcast(IdFilter.of(pairs))
-    held = map_batches(vectors, passing(wanted, True), "id long, v array<float>")
-    both = pairs.join(held.select(F.col("id").alias("rep_a"), F.col("v").alias("v_a")), "rep_a").join(held.select(F.col("id").alias("rep_b"), F.col("v").alias("v_b")), "rep_b")
-
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, x = usable(batch, "v_a", dim)
-        _, y = usable(batch, "v_b", dim)
-        cosine = (_unit(x) * _unit(y)).sum(axis=1)
-        out = pa.RecordBatch.from_arrays([column(batch, "rep_a"), column(batch, "rep_b"), pa.array(cosine)], ["rep_a", "rep_b", "cosine"])
-        return out.filter(pa.array(cosine >= least - 1e-9))
-
-    return map_batches(both, verify, "rep_a long, rep_b long, cosine double"), members
+            for r in batch.to_pylist():
+                if r["tile"] != tile:
+                    yield from itself()
+                    tile, ids, raw, unit = r["tile"], [], [], []
+                i = np.array(r["ids"], np.int64)
+                x = _unpack(r["blob"], len(i), dim)
+                if r["role"]:
+                    yield from ask(i, x)
+                else:
+                    ids.append(i), raw.append(x), unit.append(_unit(x).astype(np.float32))
+        yield from itself()
+
+    return tiles.mapInArrow(compare, links_of), members
+
+
+def _best(i: np.ndarray, x: np.ndarray, ids: np.ndarray, raw: np.ndarray, unit: np.ndarray, k: int, least: float | None) -> pa.RecordBatch:
+    """The k best of ``ids`` for each row of ``x``, equal cosines by id; single precision only chooses what is verified."""
+    s = _unit(x).astype(np.float32) @ unit.T
+    _, own, at = np.intersect1d(i, ids, assume_unique=True, return_indices=True)
+    s[own, at] = -2
+    slack = np.float32(1e-5)
+    bound = np.full(len(s), -1.5, np.float32) if least is None else np.full(len(s), least, np.float32) - slack
+    if len(ids) > k:
+        many = np.flatnonzero((s >= bound[:, None]).sum(axis=1) > k)
+        if len(many):
+            best = s if len(many) == len(s) else s[many]
+            wide = min(16, len(ids) // (2 * k))
+            if wide > 1:  # the k-th of the groups' best is no better than the k-th of all
+                best = best[:, : len(ids) // wide * wide].reshape(len(many), -1, wide).max(axis=2)
+            bound[many] = np.maximum(bound[many], np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k] - slack)
+    q, b = np.nonzero(s >= bound[:, None])
+    cosine = np.concatenate([np.zeros(0), *[(_unit(x[q[a : a + STEP]]) * _unit(raw[b[a : a + STEP]])).sum(axis=1) for a in range(0, len(q), STEP)]])
+    order = np.lexsort((ids[b], -cosine, q))
+    q, b, cosine = q[order], b[order], cosine[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    keep = (place < k) & (cosine >= (-2 if least is None else least - 1e-9))
+    return pa.RecordBatch.from_arrays([pa.array(i[q[keep]]), pa.array(ids[b[keep]]), pa.array(cosine[keep])], ["rep", "other", "cosine"])
 
 
 def nearest(links: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
@@ -159,10 +299,9 @@ def nearest(links: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
     group of copies is not unfolded into all its pairs.
     """
     few = members.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("place") <= k + 1)
-    both = links.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other"), "cosine").unionByName(links.select(F.col("rep_b").alias("rep"), F.col("rep_a").alias("other"), "cosine"))
     # a vector's own record, where it has other members, and at most k of the others: those alone hold k members already
     own = members.where("rep != id").select("rep").distinct().select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("cosine"))
-    ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k).drop("r")
+    ranked = links.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k).drop("r")
     near = ranked.unionByName(own).join(few.select(F.col("rep").alias("other"), F.col("id").alias("neighbour")), "other")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "neighbour"))).where(F.col("r") <= k + 1)
     each = members.join(near, "rep").where("id != neighbour")

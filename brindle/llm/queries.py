@@ -43,13 +43,13 @@ def p2_stats(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _near_vectors(spark: SparkSession, d: str) -> DataFrame:
+def _near_vectors(spark: SparkSession, d: str, least: float | None) -> DataFrame:
     vectors = spread(table(spark, d, "vector_store").select("vec_id", "embeddings"), "vec_id")
-    return forest.nearest(*forest.close_pairs(vectors, "vec_id", "embeddings", least=0.9))
+    return forest.nearest(*forest.close_pairs(vectors, "vec_id", "embeddings", least=least))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    near = _near_vectors(spark, d)
+    near = _near_vectors(spark, d, 0.9)
     return near.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b")).distinct()
 
 

@@ -165,6 +165,25 @@ def test_forest_against_brute_force(spark):
     assert {r.neighbour for r in near if r.id == 1013} == {0, *range(1000, 1009)}
 
 
+def unit_rows(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def true_nearest(u, k, least=-2.0):
+    s = u @ u.T
+    np.fill_diagonal(s, -3)
+    best = np.argsort(-s, axis=1)[:, :k]
+    return {(i, int(j)) for i, row in enumerate(best) for j in row if s[i, j] >= least}
+
+
+def test_nearest_in_a_dense_topic(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((1, 384)) + 0.29 * rng.standard_normal((2500, 384))  # nearly all pairs at cosine 0.92
+    x = np.concatenate([x, rng.standard_normal((300, 384))]).astype(np.float32)
+    near = forest.nearest(*forest.close_pairs(frame(spark, [(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<float>"), "id", "v", 0.9)).collect()
+    assert {(r.id, r.neighbour) for r in near} == true_nearest(unit_rows(x.astype(np.float64)), 10, 0.9)
+
+
 # -- 2: statistics -----------------------------------------------------------------------------------
 
 
