@@ -53,6 +53,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b")).distinct()
 
 
+def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar other vectors of every usable vector, however similar they are."""
+    ids = table(spark, d, "vector_store").select("vec_id", "chunk_id")
+    near = _near_vectors(spark, d, None).join(ids.withColumnRenamed("vec_id", "id"), "id")
+    near = near.join(ids.select(F.col("vec_id").alias("neighbour"), F.col("chunk_id").alias("neighbour_chunk_id")), "neighbour")
+    return near.select(F.col("id").alias("vec_id"), "chunk_id", "neighbour", "neighbour_chunk_id", "cosine", "rank")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _oversized(spark, d, split.split_items).select("item_table", "item_id", F.when(F.col("forced"), "forced").otherwise("natural").alias("cut"))
 
@@ -106,7 +114,7 @@ def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(spread(docs, "doc_id"), sentences.fit(docs), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_stats, p3_found, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p7_mix, p7_report, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_stats, p3_found, p3_nearest, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p7_mix, p7_report, p8_found, p8_sentences)}
 
 SQL = {
     "p4_found": r"""

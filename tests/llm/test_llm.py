@@ -184,6 +184,22 @@ def test_nearest_in_a_dense_topic(spark):
     assert {(r.id, r.neighbour) for r in near} == true_nearest(unit_rows(x.astype(np.float64)), 10, 0.9)
 
 
+def test_nearest_without_a_floor(spark, tmp_path):
+    from brindle.llm import queries
+
+    rng = np.random.default_rng(3)
+    topic = rng.standard_normal((40, 384))
+    x = (topic[rng.integers(0, 40, 4000)] * 0.8 + rng.standard_normal((4000, 384))).astype(np.float32)
+    rows = [(i, f"c{i}", r.tolist()) for i, r in enumerate(x)] + [(9000, "none", None)]
+    frame(spark, rows, "vec_id long, chunk_id string, embeddings array<float>").write.parquet(f"{tmp_path}/vector_store.parquet")
+    near = queries.QUERIES["p3_nearest"](spark, str(tmp_path)).collect()
+    assert all(r.chunk_id == f"c{r.vec_id}" and r.neighbour_chunk_id == f"c{r.neighbour}" for r in near)
+    assert len(near) == 40000 and min(r.cosine for r in near) < 0.5
+    got = {(r.vec_id, r.neighbour) for r in near if r.vec_id % 50 == 0}
+    want = {p for p in true_nearest(unit_rows(x.astype(np.float64)), 10) if p[0] % 50 == 0}
+    assert len(want & got) >= 0.99 * len(want)
+
+
 # -- 2: statistics -----------------------------------------------------------------------------------
 
 
