@@ -16,7 +16,8 @@ from brindle.llm.sketches import hashed_counts
 from brindle.plans.physical import cut_lineage
 
 STATS = ("n_words", "mean_word_length", "symbol_ratio", "end_punct_share", "common_share", "mean_line_words", "known_share")
-DF_BITS = 20
+DF_BITS, GROUP_BITS = 20, 18  # of the counts over all documents, and within each group
+GROUPS = ("none", "th", "hi", "ar", "ja", "zh", "latin", "en", "de", "fr", "es")
 COMMON_SHARE, KNOWN_SHARE = 0.02, 0.0005  # of the documents of a language; of all documents
 BINS = 512
 TERMINAL = set(".!?。！？।؟…")
@@ -142,12 +143,17 @@ def _ragged(bodies: list[str], group: str) -> bool:
     return words <= 7.5 and middle <= 52
 
 
-def text_statistics(df: DataFrame, key: str, text: str = "text", lang: str | None = "lang", dictionary: DataFrame | None = None, dictionary_text: str = "text") -> DataFrame:
+def _grouped(hashes: np.ndarray, group: int) -> np.ndarray:
+    return (hashes & np.uint64((1 << GROUP_BITS) - 1)) + np.uint64(group << GROUP_BITS)
+
+
+def text_statistics(df: DataFrame, key: str, text: str = "text", lang: str | None = "lang", dictionary: DataFrame | None = None, dictionary_text: str = "text", dictionary_lang: str = "lang") -> DataFrame:
     """(key, lang_group, n_chars, STATS..., <stat>_z and <stat>_pct for each, shape, form), one row per input row.
 
     Counts of the words' documents come from ``dictionary`` (default: ``df``) as a fixed hash table;
-    common_share is the share of words that 2 % of all documents have, known_share that of words that
-    0.05 % (3 at least) have. Each statistic's distribution within its language group is kept in a
+    common_share is the share of words that 2 % of the documents of the text's group (3 at least) have,
+    each group being counted apart and ``latin`` over all Latin documents; known_share that of words that
+    0.05 % of all documents (3 at least) have. Each statistic's distribution within its language group is kept in a
     mergeable sketch of 512 bins, added up over all rows; from it come the percentile and the robust
     z-score (distance to the median in units of 1.4826 MAD).
 
@@ -156,23 +162,37 @@ def text_statistics(df: DataFrame, key: str, text: str = "text", lang: str | Non
     under 50 characters, whose statistics are 0 where undefined. Repeated rows get the same values.
     """
     own = df.select(df[key].alias("_key"), df[text].alias("_text"), (df[lang] if lang else F.lit(None)).cast("string").alias("_lang"))
-    words_of = own if dictionary is None else dictionary.select(dictionary[dictionary_text].alias("_text"), F.lit(None).cast("string").alias("_lang"))
+    if dictionary is None:
+        words_of = own.select("_text", "_lang")
+    else:
+        stated = dictionary[dictionary_lang] if dictionary_lang in dictionary.columns else F.lit(None)
+        words_of = dictionary.select(dictionary[dictionary_text].alias("_text"), stated.cast("string").alias("_lang"))
+    # one table: words over all documents, then the documents of each group, then the words within each group
+    sizes_at, groups_at = 1 << DF_BITS, 1 << (GROUP_BITS + 4)
 
     def distinct_units(batch: pa.RecordBatch) -> np.ndarray:
-        out = []
-        for t in strings(batch, "_text"):
+        out = [np.zeros(0, np.uint64)]
+        for t, lg in zip(strings(batch, "_text"), strings(batch, "_lang")):
             if t and t.strip():
                 codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                out += map(_words.__getitem__, set(units_of(t, script_group(t, codes, _char_table()[codes], None))))
-        return np.array(out, dtype=np.uint64)
-
-    counts = hashed_counts(words_of.select("_text"), distinct_units, DF_BITS)
+                group = script_group(t, codes, _char_table()[codes], lg)
+                units = set(units_of(t, group))
+                h = np.fromiter(map(_words.__getitem__, units), np.uint64, len(units))
+                out.append(h & np.uint64(sizes_at - 1))
+                for g in {group, "latin"} if group in ("en", "de", "fr", "es") else {group}:
+                    at = GROUPS.index(g)
+                    out.append(np.unique(_grouped(h, at)) + np.uint64(groups_at))
+                    out.append(np.array([sizes_at + at], np.uint64))
+        return np.concatenate(out)
+
+    table = hashed_counts(words_of, distinct_units, GROUP_BITS + 5)
+    counts, totals, within = table[:sizes_at], table[sizes_at : sizes_at + len(GROUPS)], table[groups_at:].reshape(16, -1)
     total = words_of.where("_text is not null").count()
     sc = df.sparkSession.sparkContext
-    level = np.zeros(len(counts), np.uint8)
-    level[counts >= max(3, KNOWN_SHARE * total)] = 1
-    level[counts >= max(3, COMMON_SHARE * total)] = 2
-    known = sc.broadcast(level)
+    known = sc.broadcast(counts >= max(3, KNOWN_SHARE * total))
+    usual = np.zeros(within.shape, bool)
+    usual[: len(GROUPS)] = within[: len(GROUPS)] >= np.maximum(3, COMMON_SHARE * totals)[:, None]
+    usual = sc.broadcast(np.packbits(usual.reshape(-1), bitorder="little"))
     kind = df.schema[key].dataType.simpleString()
     names = ["_key", "lang_group", "n_chars", *STATS, "shape", "trimmed"]
 
@@ -184,8 +204,9 @@ def text_statistics(df: DataFrame, key: str, text: str = "text", lang: str | Non
                 values = ["none", len(t or ""), *[0.0] * len(STATS), "text", 0]
             else:
                 group, units, n_words, mean, symbol, ending, per_line, shape = describe(body, lg)
-                at = known.value[(np.fromiter(map(_words.__getitem__, units), np.uint64, len(units)) & np.uint64(len(level) - 1)).astype(np.int64)]
-                common, seen = (float((at == 2).mean()), float((at >= 1).mean())) if len(at) else (0.0, 0.0)
+                h = np.fromiter(map(_words.__getitem__, units), np.uint64, len(units))
+                at = _grouped(h, GROUPS.index(group)).astype(np.int64)
+                common, seen = (float((usual.value[at >> 3] >> (at & 7) & 1).mean()), float(known.value[(h & np.uint64(sizes_at - 1)).astype(np.int64)].mean())) if len(h) else (0.0, 0.0)
                 values = [group, len(t), float(n_words), mean, symbol, ending, common, per_line, seen, shape, len(body)]
             for c, v in zip(cols, values):
                 c.append(v)

@@ -203,6 +203,18 @@ def test_nearest_without_a_floor(spark, tmp_path):
 # -- 2: statistics -----------------------------------------------------------------------------------
 
 
+def test_common_words_of_a_rare_language(spark):
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice(["the", "and", "cat", "dog", "runs"]) for _ in range(30)), "en") for i in range(600)]
+    rows += [(1000 + i, " ".join(rnd.choice(["في", "من", "كتاب", "بيت"]) for _ in range(30)), "ar") for i in range(8)]
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.common_share for r in quality.text_statistics(docs, "doc_id").collect()}
+    assert got[0] == 1.0 and got[1000] == 1.0
+    chunks = frame(spark, [(1, rows[0][1]), (2, rows[-1][1]), (3, "zebra unseen words")], "chunk_no long, text string")
+    got = {r.chunk_no: r.common_share for r in quality.text_statistics(chunks, "chunk_no", lang=None, dictionary=docs).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 0.0}
+
+
 def test_forms(spark):
     rnd = random.Random(4)
     nouns, verbs = [f"noun{c}" for c in "abcdefghij"], [f"verb{c}" for c in "abcdefghij"]
