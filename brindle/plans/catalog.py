@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 from brindle.operators import answers as A
 from brindle.operators import chunking, retrieval as R
-from brindle.plans.physical import spread, table
+from brindle.plans.physical import cut_lineage, spread, table
 
 FETCH, TOP = 20, 5
 
@@ -234,6 +234,58 @@ def q31_hits_per_chunk(spark, d):
     return h.join(ids, "chunk_id", "left").select("chunk_id", "hits", "queries", F.col("known").isNull().alias("orphan"))
 
 
+def _hybrid_reranked(c, q):
+    """The fused hits of the three legs, as in q16, reranked."""
+    h = R.fuse(R.vector_search(c, q, FETCH), R.bm25_search(c, q, FETCH), R.graph_search(c, q, FETCH), k=TOP).select("query_id", "chunk_no", F.col("rank").alias("fused_rank"))
+    s = h.join(c.select("chunk_no", "chunk_id", "text"), "chunk_no").join(q, "query_id")
+    s = s.withColumn("rerank_score", A.overlap_score(T.tokens(F.col("query")), T.tokens(F.col("text"))))
+    w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "fused_rank")
+    return s.withColumn("rank", F.row_number().over(w))
+
+
+def _hybrid_gate(c, q):
+    best = _hybrid_reranked(c, q).groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("rerank_score"))).alias("s"), F.count("*").alias("n"))
+    return q.join(best, "query_id", "left").select("query_id", "query", A.gate(F.col("s"), F.col("n")).alias("decision"))
+
+
+def q32_hybrid_multi(spark, d):
+    """q23 on the fused hits of the three legs."""
+    q = _asked(spark, d)
+    w = T.words(F.col("query"))
+    half = F.array_join(F.slice(w, 1, F.ceil(F.size(w) / 2).cast("int")), " ")
+    asked = q.select((F.col("query_id") * 2).alias("query_id"), "query").unionByName(q.select((F.col("query_id") * 2 + 1).alias("query_id"), half.alias("query")))
+    c = _chunks(spark, d)
+    h = R.fuse(R.vector_search(c, asked, FETCH), R.bm25_search(c, asked, FETCH), R.graph_search(c, asked, FETCH), k=TOP)
+    hits = h.select(F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("query_id") % 2).alias("sub"), "rank", "chunk_no", F.col("rrf_score").alias("score"))
+    return R.distinct_hits(hits).select("query_id", "chunk_no", "score", "rank")
+
+
+def q33_hybrid_rerank(spark, d):
+    return _hybrid_reranked(_chunks(spark, d), _asked(spark, d)).select("query_id", "chunk_no", "rerank_score", "rank")
+
+
+def q34_hybrid_gate(spark, d):
+    return _hybrid_gate(_chunks(spark, d), _asked(spark, d)).select("query_id", "decision")
+
+
+def q35_hybrid_loop(spark, d, rounds: int = 2):
+    """q26 as surveyed: each round retrieves from all three legs and reranks before the gate."""
+    c, open_ = _chunks(spark, d), _asked(spark, d)
+    done = None
+    for i in range(rounds + 1):
+        best = cut_lineage(_hybrid_gate(c, open_))  # else each round would run the earlier ones again, several times over
+        ended = best if i == rounds else best.where("decision != 'retry'")
+        ended = ended.select("query_id", F.when(F.col("decision") == "retry", "refuse").otherwise(F.col("decision")).alias("decision"), F.lit(i).alias("retries"))
+        done = ended if done is None else done.unionByName(ended)
+        w = T.words(F.col("query"))
+        open_ = best.where("decision = 'retry'").select("query_id", F.array_join(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(1))), " ").alias("query"))
+    return done
+
+
+def q36_hybrid_context(spark, d):
+    return A.context(_hybrid_reranked(_chunks(spark, d), _asked(spark, d)).select("query_id", "rank", "chunk_id", "text")).select("query_id", F.md5("context").alias("context_md5"), F.length("context").alias("chars"))
+
+
 QUERIES = {n: f for n, f in sorted(globals().items()) if n[:1] == "q" and n[1:3].isdigit()}
 
 # -- SQL -----------------------------------------------------------------------------------------------

@@ -146,3 +146,15 @@ def test_entry_without_llm():
     import __spark_entry__ as e
 
     assert {n for n in e.queries() if n.startswith("q")} == {n for n in e.oracle_sql() if n.startswith("q")}
+
+
+def test_hybrid_loop_reranks_before_the_gate(spark, tmp_path):
+    from brindle.plans import catalog
+
+    texts = ["alpha alpha alpha alpha", "alpha beta gamma and more words that only make this text longer"] + [f"filler{i} text" for i in range(8)]
+    rows = [(i, f"f_chunk_{i:05d}", t, "f", i) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "chunk_no long, chunk_id string, text string, source string, chunk_index int").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma"), (2, "nowhere found")], "query_id long, query string").write.parquet(f"{tmp_path}/query_catalog.parquet")
+    got = {r.query_id: (r.decision, r.retries) for r in catalog.QUERIES["q35_hybrid_loop"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("pass", 0), 2: ("refuse", 0)}
+    assert {r.chunk_no for r in catalog.QUERIES["q33_hybrid_rerank"](spark, str(tmp_path)).where("query_id = 1 and rank = 1").collect()} == {1}
