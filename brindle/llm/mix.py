@@ -9,6 +9,7 @@ from brindle.llm.encode import BYTE_BPE_50K, count_tokens
 from brindle.plans.physical import cut_lineage, spread
 
 MIX_SEED = 20
+SMALL = 10_000  # target rows that may be broadcast
 
 
 def source_key(c):
@@ -26,25 +27,28 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = BYTE_BPE_50K
     uniform in [0, 1), is below the fraction: the choice of a document needs no other row, so nothing is
     sorted or gathered, and it is the same on every run. Tokens are first summed per source (map-side).
 
-    Documents of unlisted or null sources, and documents without tokens, are not used. A listed source
+    Documents of unlisted or null sources aren't encoded, and those without tokens not used. A listed source
     without documents reports zeros. A target row that is repeated counts once, the largest share and
     cap. Empty tables give an empty mixture. The report is as long as ``targets``.
     """
     listed = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null")
     listed = listed.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    sized = count_tokens(spread(documents.select("doc_id", "text", "source"), "doc_id"), "doc_id", "text", vocabulary, "source")
-    sized = cut_lineage(sized.select("doc_id", source_key(F.col("source")).alias("source"), "n_tokens"))  # read twice, encoded once
+    small = listed.count() <= SMALL  # target rows, which are sent to every task only where they are few
+    sent = F.broadcast if small else lambda df: df
+    wanted = documents.select("doc_id", "text", source_key(F.col("source")).alias("source")).join(sent(listed.select("source")), "source", "left_semi")
+    sized = count_tokens(spread(wanted, "doc_id"), "doc_id", "text", vocabulary, "source")
+    sized = cut_lineage(sized.select("doc_id", "source", "n_tokens"))  # read twice, encoded once
     have = sized.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count("*").alias("source_docs"))
-    plan = listed.join(have, "source", "left").na.fill(0, ["source_tokens", "source_docs"])
+    plan = listed.join(sent(have), "source", "left").na.fill(0, ["source_tokens", "source_docs"])
     plan = plan.crossJoin(plan.agg(F.sum("source_tokens").alias("total_tokens")))  # one row
     rate = F.least(F.col("max_repeats").cast("double"), F.try_divide(F.col("target_share") * F.col("total_tokens"), F.col("source_tokens")))
     plan = plan.withColumn("rate", F.greatest(F.lit(0.0), F.coalesce(rate, F.lit(0.0))))
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picked = sized.where("n_tokens > 0").join(plan.select("source", "rate"), "source")
+    picked = sized.where("n_tokens > 0").join(sent(plan.select("source", "rate")), "source")
     picked = picked.withColumn("copies", F.floor("rate").cast("int") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0))
     mixture = picked.where("copies > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy_no"), "n_tokens")
     used = picked.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"), F.sum("copies").alias("mixed_docs"))
-    report = plan.join(used, "source", "left").na.fill(0, ["mixed_tokens", "mixed_docs"])
+    report = plan.join(sent(used), "source", "left").na.fill(0, ["mixed_tokens", "mixed_docs"])
     report = report.crossJoin(report.agg(F.sum("mixed_tokens").alias("all_mixed")))
     report = report.select(
         "source", "target_share", "max_repeats", "source_docs", "source_tokens", "total_tokens", "rate", "mixed_docs", "mixed_tokens",

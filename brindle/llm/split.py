@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.arrow import column, map_batches, strings
 
-LIMIT, OVERLAP, CELL = 2000, 200, 80
+LIMIT, OVERLAP = 2000, 200
 # Cut penalties, in units of the squared relative size error.
 PARAGRAPH, SENTENCE, CLAUSE, WORD, INSIDE_MARK, FORCED = 0.0, 0.08, 0.35, 0.8, 1.5, 60.0
 # The marks at which a text may be cut though no white space follows.
@@ -61,84 +61,96 @@ def cut_penalties(text: str) -> np.ndarray:
     return pen
 
 
-def _spots(pen: np.ndarray, cell: int) -> np.ndarray:
-    """Positions worth considering: the cheapest cut of each cell, and both ends of every wide gap."""
-    n = len(pen) - 1
-    rows = -(-(n - 1) // cell)
-    padded = np.full(rows * cell, FORCED * 2)
-    padded[: n - 1] = pen[1:n]
-    grid = padded.reshape(rows, cell)[:, ::-1]  # of equals, the last in its cell
-    best = np.arange(rows) * cell + (cell - 1 - grid.argmin(axis=1)) + 1
-    natural = np.concatenate([[0], np.flatnonzero(pen[1:n] < FORCED) + 1, [n]])
-    wide = np.flatnonzero(np.diff(natural) > cell)
-    spots = np.unique(np.concatenate([best[pen[best] < FORCED], natural[wide], natural[wide + 1]]))
-    return spots[(spots > 0) & (spots < n)]
-
-
-def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, cell: int = CELL) -> tuple[list[int], list[int], bool]:
+def _begins(pen: np.ndarray, at: np.ndarray, overlap: int) -> np.ndarray:
+    """Where the piece after a cut at each place starts: the best boundary about ``overlap`` back, or exactly that far back."""
+    low, high = overlap // 2, overlap + overlap // 2
+    out = np.maximum(at - overlap, 0)
+    if high <= low:
+        return out
+    padded = np.concatenate([np.full(high, FORCED * 2), pen])  # padded[i + high] is pen[i]
+    tent = np.abs(high - np.arange(high - low) - overlap) / (overlap * 4)
+    for k in range(0, len(at), 4096):
+        own = at[k : k + 4096]
+        window = padded[own[:, None] + np.arange(high - low)]  # the positions from high to low + 1 back
+        best = (window + tent).argmin(axis=1)
+        place = own - high + best
+        good = (window[np.arange(len(own)), best] < FORCED) & (place > 0)
+        out[k : k + 4096][good] = place[good]
+    return out
+
+
+def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[int], list[int], bool]:
     """(starts, ends, forced) of the pieces, in characters; a text within the limit is one piece.
 
-    Minimises the sum of cut penalties and of squared deviations from the even piece size over all
-    sequences of boundary positions whose pieces, overlap included, fit the limit. A piece begins at the
-    best boundary near ``overlap`` characters before the last cut, or at the cut where there is none
-    (in a run without boundaries, exactly ``overlap`` before it). Only where the text has more than
-    ``limit`` characters without a boundary is a cut forced, between characters.
+    Minimises, over all sequences of boundary positions of the text, the sum of cut penalties, of squared
+    deviations from the even piece size, and of overlap lost where a piece would burst the limit. A piece
+    begins at the best boundary near ``overlap`` characters before the last cut, else exactly that far
+    before it, and later only where the limit asks for it. Only where the text has more than ``limit``
+    characters without a boundary is a cut forced, between characters.
     """
     n = len(text)
     if n <= limit:
         return [0], [n], False
     pen = cut_penalties(text)
-    spots = _spots(pen, max(1, min(cell, limit // 8)))
-    edges = np.concatenate([[0], spots, [n]])
+    edges = np.concatenate([[0], np.flatnonzero(pen[1:n] < FORCED) + 1, [n]])
     gaps = np.diff(edges)
-    forced = bool((gaps > limit).any())
-    if forced:  # evenly spaced places inside the runs that nothing else can part
+    if (gaps > limit).any():  # evenly spaced places inside the runs that nothing else can part
         step = max(1, limit - overlap)
         more = [np.arange(a + step, b, step) for a, b, g in zip(edges[:-1], edges[1:], gaps) if g > limit]
-        spots = np.unique(np.concatenate([spots, *more]))
-    p = [0, *spots.tolist(), n]
+        edges = np.unique(np.concatenate([edges, *more]))
+    begin = _begins(pen, edges, overlap)
+    begin[0] = 0
+    cuts = _cheapest(edges, begin, pen[edges], limit, overlap, n)
+    starts, ends = [0], edges[cuts[1:]].tolist()
+    for i, end in zip(cuts[1:-1], ends[1:]):
+        starts.append(min(int(edges[i]), max(int(begin[i]), end - limit, starts[-1] + 1)))
+    return starts, ends, bool((pen[edges[cuts[1:-1]]] >= FORCED).any())
+
+
+def _cheapest(p: np.ndarray, begin: np.ndarray, pen: np.ndarray, limit: int, overlap: int, n: int) -> list[int]:
+    """Indices into ``p`` of the cheapest cuts, the two ends included.
+
+    All places within STEP characters are worked out in one matrix from the places before them. Should a
+    piece from one of them to another pay as well, which its deviation hardly allows, they are gone
+    through one by one.
+    """
     m = len(p)
-    cost = pen[p].tolist()
-    low, high = overlap // 2, overlap + overlap // 2
-    begin = [0] * m  # where the piece after a cut at p[i] starts
-    for i in range(1, m - 1):
-        a, b = max(p[i] - high, 1), p[i] - low
-        begin[i] = p[i]
-        if b > a:
-            window = pen[a:b] + np.abs(np.arange(a, b) - (p[i] - overlap)) / (overlap * 4)
-            k = int(window.argmin())
-            if pen[a + k] < FORCED:
-                begin[i] = a + k
-            elif pen[p[i]] >= FORCED:
-                begin[i] = p[i] - overlap
     count = max(2, -(-(n - overlap) // max(1, limit - overlap)))
     ideal = min(limit, (n + (count - 1) * overlap) / count)
-    best, back = [0.0] + [float("inf")] * (m - 1), [0] * m
-    lowest = 0
-    for j in range(1, m):
-        end = p[j]
-        while end - begin[lowest] > limit and lowest < j - 1:
-            lowest += 1
-        floor_, b, choice = cost[j], float("inf"), j - 1
-        for i in range(lowest, j):
-            size = end - begin[i]
-            if size > limit or p[i] <= begin[i] - limit:
-                continue
-            off = (size - ideal) / ideal
-            c = best[i] + off * off * 4
-            if c < b:
-                b, choice = c, i
-        if b == float("inf"):  # the overlap alone would burst the limit: begin at the cut itself
-            choice = j - 1
-            begin[choice] = max(p[choice], end - limit) if end - p[choice] <= limit else p[choice]
-            b = best[choice] + FORCED
-        best[j], back[j] = b + floor_, choice
+    best, back = np.full(m, np.inf), np.zeros(m, np.int64)
+    best[0] = 0.0
+    step = max(1, limit // 5)
+
+    def cost(i: slice | np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of pieces from the places i (columns) to the ends (rows)."""
+        size = ends[:, None] - begin[i]
+        off = (np.minimum(size, limit) - ideal) / ideal
+        c = best[i] + off * off * 4 + np.maximum(size - limit, 0) * (3.0 / max(1, overlap))
+        return np.where(ends[:, None] - p[i] <= limit, c, np.inf)
+
+    j = 1
+    while j < m:
+        stop = int(np.searchsorted(p, p[j - 1] + step, side="right"))
+        stop = min(m, max(stop, j + 1))
+        low = int(np.searchsorted(p, p[j] - limit))
+        c = cost(slice(low, j), p[j:stop])
+        k = c.argmin(axis=1)
+        best[j:stop] = c[np.arange(stop - j), k] + pen[j:stop]
+        back[j:stop] = low + k
+        own = best[j:stop]
+        longest = max(0.0, 1 - (p[stop - 1] - begin[j:stop].min()) / ideal)
+        for x in j + np.flatnonzero(own - pen[j:stop] > own.min() + 4 * longest * longest):
+            if x > j:
+                inner = slice(max(j, int(np.searchsorted(p, p[x] - limit))), x)
+                c = cost(inner, p[x : x + 1])[0]
+                i = int(c.argmin())
+                if c[i] + pen[x] < best[x]:
+                    best[x], back[x] = c[i] + pen[x], inner.start + i
+        j = stop
     cuts = [m - 1]
     while cuts[-1]:
-        cuts.append(back[cuts[-1]])
-    cuts.reverse()
-    starts = [begin[i] for i in cuts[:-1]]
-    return starts, [p[i] for i in cuts[1:]], forced
+        cuts.append(int(back[cuts[-1]]))
+    return cuts[::-1]
 
 
 def split_items(df: DataFrame, key: str, text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

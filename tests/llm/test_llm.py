@@ -50,6 +50,8 @@ def test_mix(spark):
     assert abs(r["big"].share_of_target_total - 0.5) < 0.06 and r["none"].mixed_tokens == 0
     assert abs(sum(x.actual_share for x in r.values()) - 1) < 1e-9
     assert mixture.groupBy("doc_id").count().agg(F.max("count")).first()[0] == 2
+    assert "SortMergeJoin" not in mixture._jdf.queryExecution().executedPlan().toString()
+    assert r["big"].source_docs == 900 and r["small"].source_docs == 100
     assert mix.mix(docs.where("false"), targets)[0].count() == 0
 
 
@@ -78,6 +80,43 @@ def test_pieces_end_at_sentences():
     assert all(100 <= e - s <= 300 for e, s in zip(ends, starts[1:]))
 
 
+def cheapest_by_hand(p, begin, pen, limit, overlap, n):
+    """The costs of the best cuts over all pairs of places, one by one."""
+    count = max(2, -(-(n - overlap) // (limit - overlap)))
+    ideal = min(limit, (n + (count - 1) * overlap) / count)
+
+    def piece(i, j):
+        size = p[j] - begin[i]
+        return 4 * ((min(size, limit) - ideal) / ideal) ** 2 + max(size - limit, 0) * 3 / overlap + pen[j]
+
+    best = [0.0]
+    for j in range(1, len(p)):
+        best.append(min(best[i] + piece(i, j) for i in range(j) if p[j] - p[i] <= limit))
+    return best[-1], piece
+
+
+def test_no_split_is_dearer_than_need_be():
+    rnd = random.Random(6)
+    for k in range(40):
+        t = "".join(rnd.choice("ab" * rnd.choice([1, 3, 30, 300]) + " .,\n") for _ in range(rnd.randint(501, 1500)))
+        n, pen = len(t), split.cut_penalties(t)
+        edges = np.concatenate([[0], np.flatnonzero(pen[1:n] < split.FORCED) + 1, [n]])
+        if np.diff(edges).max() > 500:
+            continue
+        begin = split._begins(pen, edges, 50)
+        begin[0] = 0
+        want, piece = cheapest_by_hand(edges, begin, pen[edges], 500, 50, n)
+        cuts = split._cheapest(edges, begin, pen[edges], 500, 50, n)
+        assert abs(sum(piece(i, j) for i, j in zip(cuts, cuts[1:])) - want) < 1e-9
+
+
+def test_pieces_overlap_where_no_boundary_is_near():
+    starts, ends, forced = split.split_text(("x" * 450 + " ") * 9)
+    assert not forced and all(100 <= e - s <= 300 for e, s in zip(ends, starts[1:]))
+    starts, ends, forced = split.split_text("y" * 4500)
+    assert forced and [e - s for e, s in zip(ends, starts[1:])] == [200, 200]
+
+
 def test_split_table(spark):
     df = frame(spark, [(1, None), (2, ""), (3, "x " * 1500), (3, "x " * 1500), (4, "y" * 2000)])
     out = split.split_pieces(df, "id")
