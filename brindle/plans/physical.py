@@ -1,4 +1,4 @@
-"""Helpers that shape the physical plan: input spreading, lineage cuts, bounded counters."""
+"""Helpers that shape the physical plan: input spreading, lineage cuts, joins that keep hot keys apart."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SALTS = 64
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition by ``keys`` only where the scan has fewer partitions than the cluster has cores.
@@ -23,11 +25,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; set a local one only where it is unset."""
+    """Use the shared folder named in ``spark.checkpoint.dir``. Only a local session may do without one.
+
+    Whether old checkpoints are deleted is up to ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), f"brindle-{uuid.uuid4().hex}"))
 
 
@@ -37,9 +44,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``rows`` with the columns of ``facts`` (one row a key), no task holding more than a ``salts``-th of a key's rows.
+
+    The facts are first joined with the distinct (key, salt) of the rows, which are at most ``salts`` a key, and
+    then with the rows on both. Rows with a null key match nothing. ``rows`` should be cheap to read twice.
+    """
+    others = [F.col(c) for c in rows.columns if c != key]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others) if others else F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    spots = salted.groupBy(key, "_salt").agg().join(facts, key)
+    return salted.join(spots, [key, "_salt"], how).drop("_salt")
 
 
-def text_or_null(name: str) -> Column:
-    return F.col(name).cast("string")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
