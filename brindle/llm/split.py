@@ -120,20 +120,30 @@ def _cheapest(p: np.ndarray, begin: np.ndarray, pen: np.ndarray, limit: int, ove
     best, back = np.full(m, np.inf), np.zeros(m, np.int64)
     best[0] = 0.0
     step = max(1, limit // 5)
-
-    def cost(i: slice | np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of pieces from the places i (columns) to the ends (rows)."""
-        size = ends[:, None] - begin[i]
-        off = (np.minimum(size, limit) - ideal) / ideal
-        c = best[i] + off * off * 4 + np.maximum(size - limit, 0) * (3.0 / max(1, overlap))
-        return np.where(ends[:, None] - p[i] <= limit, c, np.inf)
+    where = begin * (2 / ideal) + 2  # in the unit in which a deviation's square is its cost
+    shift = int((p - begin).max())
+
+    def cost(low: int, high: int, ends: np.ndarray) -> np.ndarray:
+        """Of pieces from the places low to high (columns) to the ends (rows)."""
+        c = (ends * (2 / ideal))[:, None] - where[low:high]
+        # further back than this a piece may burst the limit with its overlap, or without it
+        far = min(high, int(np.searchsorted(p, ends[-1] - limit + shift)))
+        if far > low:
+            size = ends[:, None] - begin[low:far]
+            np.minimum(c[:, : far - low], (limit - ideal) * (2 / ideal), out=c[:, : far - low])
+        c *= c
+        c += best[low:high]
+        if far > low:
+            c[:, : far - low] += np.maximum(size - limit, 0) * (3.0 / max(1, overlap))
+            c[:, : far - low][ends[:, None] - p[low:far] > limit] = np.inf
+        return c
 
     j = 1
     while j < m:
         stop = int(np.searchsorted(p, p[j - 1] + step, side="right"))
         stop = min(m, max(stop, j + 1))
         low = int(np.searchsorted(p, p[j] - limit))
-        c = cost(slice(low, j), p[j:stop])
+        c = cost(low, j, p[j:stop])
         k = c.argmin(axis=1)
         best[j:stop] = c[np.arange(stop - j), k] + pen[j:stop]
         back[j:stop] = low + k
@@ -141,11 +151,11 @@ def _cheapest(p: np.ndarray, begin: np.ndarray, pen: np.ndarray, limit: int, ove
         longest = max(0.0, 1 - (p[stop - 1] - begin[j:stop].min()) / ideal)
         for x in j + np.flatnonzero(own - pen[j:stop] > own.min() + 4 * longest * longest):
             if x > j:
-                inner = slice(max(j, int(np.searchsorted(p, p[x] - limit))), x)
-                c = cost(inner, p[x : x + 1])[0]
+                low = max(j, int(np.searchsorted(p, p[x] - limit)))
+                c = cost(low, int(x), p[x : x + 1])[0]
                 i = int(c.argmin())
                 if c[i] + pen[x] < best[x]:
-                    best[x], back[x] = c[i] + pen[x], inner.start + i
+                    best[x], back[x] = c[i] + pen[x], low + i
         j = stop
     cuts = [m - 1]
     while cuts[-1]:
