@@ -52,7 +52,7 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner",
     """
     others = [F.col(c) for c in rows.columns if c != key]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others) if others else F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    spots = salted.groupBy(key, "_salt").agg().join(facts, key)
+    spots = salted.select(key, "_salt").distinct().join(facts, key)
     return salted.join(spots, [key, "_salt"], how).drop("_salt")
 
 
