@@ -1,21 +1,24 @@
-"""Nearest neighbours by exact blocked search within the cells that can hold them."""
+"""Nearest neighbours by a hash-prefix forest: sorted arrays of hash strings, longest prefixes first, exact blocks under each."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.arrow import column, map_batches
-from brindle.llm.sketches import IdFilter
-from brindle.plans.physical import cut_lineage
+from brindle.llm.neardup import fold_equal
+from brindle.llm.sketches import FAN, IdFilter
+from brindle.plans.physical import join_facts
 
-DIM, SEED = 384, 7
+DIM, SEED, TREES = 384, 7, 2
 SAMPLE, TILE, HELD, STEP = 8192, 16384, 16384, 512  # vectors in the sample (about), a tile, a packing buffer, a product
 
 
@@ -54,16 +57,37 @@ def _sums(x: np.ndarray, home: np.ndarray, cells: int) -> np.ndarray:
     return (home == np.arange(cells)[:, None]).astype(np.float32) @ x
 
 
-class Cells:
-    """Centres of a sample's k-means, and what is known of the vectors that have each as their nearest.
-
-    ``wanted`` names the cells that may hold one of a vector's k most similar others. The cosines to a cell's
-    members are taken to spread normally about that to their mean; what the home cell gives is the bound that
-    another cell must reach. Cells are left out only while those left out are expected to hold under ``LOST``
-    of the k. A cell is asked too where a vector at cosine CLOSE may have it as its home.
+def hash_strings(c: np.ndarray, rng: np.random.Generator) -> list[str]:
+    """A string of bits for each centre: alike ones share a long prefix. Each bit parts the centres of a prefix by two of them."""
+    out = [""] * len(c)
+    todo = [np.arange(len(c))]
+    while todo:
+        at = todo.pop()
+        if len(at) < 2:
+            continue
+        x = c[at]
+        two = x[rng.choice(len(at), 2, replace=False)]
+        for _ in range(6):
+            side = x @ two[0] < x @ two[1]
+            if side.all() or not side.any():
+                break
+            two = np.stack([x[~side].mean(axis=0), x[side].mean(axis=0)])
+        if min(side.sum(), (~side).sum()) * 10 < len(at):  # strings of a bounded length even where centres are alike
+            side = np.argsort(np.argsort(x @ (two[1] - two[0]), kind="stable"), kind="stable") >= len(at) // 2
+        for i, bit in zip(at.tolist(), side.tolist()):
+            out[i] += "1" if bit else "0"
+        todo += [at[~side], at[side]]
+    return out
+
+
+class Tree:
+    """A sorted array of hash strings, one for each centre of a sample's k-means, and what is known of the vectors under each.
+
+    A vector's string is that of its nearest centre. ``low`` and ``high`` give, for each string and each number
+    of bits taken off its end, the stretch of the array that shares the prefix left.
     """
 
-    LOST, CLOSE, SAFE, Z = 0.01, 0.9, 1.15, 5.0
+    SAFE, CLOSE, Z = 1.15, 0.9, 5.0
 
     def __init__(self, sample: np.ndarray, n: int, k: int, seed: int):
         self.k, rng = k, np.random.default_rng(seed)
@@ -73,7 +97,12 @@ class Cells:
             sums = _sums(sample, (sample @ c.T).argmax(axis=1), len(c))
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             c = np.where(norm > 0, sums / np.maximum(norm, 1e-30), c)
-        self.centres = np.ascontiguousarray(c, np.float32)
+        strings = hash_strings(c, rng)
+        order = sorted(range(len(c)), key=strings.__getitem__)
+        self.centres, self.strings = np.ascontiguousarray(c[order], np.float32), [strings[i] for i in order]
+        prefixes = [[s[: max(0, len(s) - up)] for s in self.strings] for up in range(max(map(len, strings)) + 1)]
+        self.low = np.array([[bisect_left(self.strings, p) for p in row] for row in prefixes])
+        self.high = np.array([[bisect_left(self.strings, p + "2") for p in row] for row in prefixes])
         rest = sample - c[(sample @ c.T).argmax(axis=1)]
         values = np.linalg.eigvalsh((rest.T @ rest / len(rest)).astype(np.float64))
         self.free = max(1.0, float(values.sum() ** 2 / max((values**2).sum(), 1e-30)))  # directions that the rest really varies in
@@ -82,26 +111,75 @@ class Cells:
         return (x @ self.centres.T).argmax(axis=1)
 
     def complete(self, sizes: np.ndarray, sums: np.ndarray) -> None:
-        self.sizes = sizes
+        self.sizes, self.up_to = sizes, np.concatenate([[0], np.cumsum(sizes)])
         self.means = (sums / np.maximum(sizes, 1)[:, None]).astype(np.float32)
         self.spread = self.SAFE * np.sqrt(np.maximum(1 - (self.means.astype(np.float64) ** 2).sum(axis=1), 1e-6) / self.free)
         share = np.clip(self.k / np.maximum(sizes - 1, 1), 1e-12, 1)
-        self.reach = np.array([_quantile(q) for q in share])  # of the k-th of a cell's members, in spreads
+        self.reach = np.array([_quantile(q) for q in share])  # of the k-th of a string's vectors, in spreads
         gaps = np.maximum(2 - 2 * self.centres @ self.centres.T, 0)
         self.apart = np.sqrt(gaps) * np.sqrt(2 - 2 * self.CLOSE) * min(1.0, self.Z / np.sqrt(self.free))
 
-    def wanted(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
-        """A row of flags for each vector, true at its home cell."""
-        rows, about, near = np.arange(len(x)), x @ self.means.T, x @ self.centres.T
-        least = about[rows, home] + self.spread[home] * self.reach[home] / self.SAFE
-        expected = self.sizes * _tail((least[:, None] - about) / self.spread)
-        order = np.argsort(expected, axis=1)
-        out = np.zeros(expected.shape, bool)
-        np.put_along_axis(out, order, np.cumsum(np.take_along_axis(expected, order, 1), axis=1) > self.LOST * self.k, 1)
-        out |= near[rows, home][:, None] - near <= self.apart[home]
-        out |= (self.sizes[home] <= self.k)[:, None]  # the home cell alone gives no bound
-        out[rows, home] = True
-        return out & (self.sizes > 0)
+
+class Forest:
+    """Trees searched in step: longest prefix first, one bit less in all of them until enough is open.
+
+    A vector descends to its own string in every tree. Then prefixes lose a bit at a time in all trees, until
+    those left open hold ENOUGH * k vectors and, in one tree at least, under LOST of the k are expected
+    outside. What is expected of a string is that the cosines to its vectors spread normally about that to
+    their mean; the bound to beat is the k-th best expected of the strings already open. In the tree that
+    asks least, the vector is compared with all vectors of the open strings (but those expected to add nothing),
+    in the others with those of its own string. A string is asked too where a vector at cosine CLOSE may have it as its own.
+    """
+
+    LOST, ENOUGH = 0.01, 3
+
+    def __init__(self, trees: list[Tree], k: int, least: float | None):
+        self.trees, self.k, self.least = trees, k, -1.0 if least is None else least
+
+    def asks(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(home string, a row of flags for each vector, true at the strings it is compared with), by tree."""
+        rows, k = np.arange(len(x)), self.k
+        bound, seen = np.full(len(x), self.least), []
+        for t in self.trees:
+            about, near = x @ t.means.T, x @ t.centres.T
+            home = near.argmax(axis=1)
+            kth = about[rows, home] + t.spread[home] * t.reach[home] / t.SAFE
+            bound = np.maximum(bound, np.where(t.sizes[home] > k, kth, -1.0))
+            seen.append((about, near, home))
+        steps = max(len(t.low) for t in self.trees)
+        least_out, held = np.full((len(x), steps), np.inf), np.zeros((len(x), steps))
+        expects, outs = [], []
+        for t, (about, _, home) in zip(self.trees, seen):
+            expected = t.sizes * _tail((bound[:, None] - about) / t.spread)
+            expected[bound <= -1.0] = t.sizes
+            up = np.minimum(np.arange(steps), len(t.low) - 1)
+            low, high = t.low[up][:, home].T, t.high[up][:, home].T
+            total = np.concatenate([np.zeros((len(x), 1)), np.cumsum(expected, axis=1)], axis=1)
+            out = np.maximum(total[:, -1:] - (np.take_along_axis(total, high, 1) - np.take_along_axis(total, low, 1)), 0.0)
+            out[:, up == len(t.low) - 1] = 0.0
+            least_out, held = np.minimum(least_out, out), held + t.up_to[high] - t.up_to[low]
+            expects.append(expected), outs.append((out, low, high))
+        enough = (least_out <= self.LOST * k) & (held >= self.ENOUGH * k)
+        enough[:, -1] = True
+        step = enough.argmax(axis=1)
+        flags, price = [], np.zeros((len(self.trees), len(x)))
+        for i, (t, expected, (out, low, high), (_, near, home)) in enumerate(zip(self.trees, expects, outs, seen)):
+            place = np.arange(len(t.sizes))
+            open_ = (place >= low[rows, step][:, None]) & (place < high[rows, step][:, None])
+            inside = np.where(open_, expected, 0.0)
+            order = np.argsort(inside, axis=1)
+            f = np.zeros(inside.shape, bool)
+            np.put_along_axis(f, order, np.cumsum(np.take_along_axis(inside, order, 1), axis=1) > np.maximum(self.LOST * k - out[rows, step], 0.0)[:, None], 1)
+            f |= near[rows, home][:, None] - near <= t.apart[home]
+            f &= t.sizes > 0
+            f[rows, home] = True
+            flags.append(f)
+            price[i] = np.where(out[rows, step] <= self.LOST * k, f @ t.sizes.astype(np.float64), np.inf)
+        chosen = price.argmin(axis=0)
+        for i, (f, (_, _, home)) in enumerate(zip(flags, seen)):
+            f[chosen != i] = False
+            f[rows, home] = True
+        return [(home, f) for f, (_, _, home) in zip(flags, seen)]
 
 
 def _tail(z: np.ndarray) -> np.ndarray:
@@ -116,13 +194,14 @@ def _quantile(share: float) -> float:
     return NormalDist().inv_cdf(1 - share) if share < 1 else -40.0
 
 
-def close_pairs(df: DataFrame, key: str, vector: str, least: float | None = None, dim: int = DIM, k: int = 10, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def close_pairs(df: DataFrame, key: str, vector: str, least: float | None = None, dim: int = DIM, k: int = 10, seed: int = SEED, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (rep, other, cosine) to the k most similar different vectors, with cosine >= ``least`` if given; members (rep, id).
 
-    Vectors are shared out to the cells of a sample's k-means. Each is compared exactly, in blocks, with all
-    members of its own cell and of every cell that may hold one of its k (``Cells.wanted``); none is capped by
-    a window, so a group of any size and density is searched whole. A cell with over TILE members or askers is
-    parted into that many more tiles. Cosines are verified in double precision.
+    A hash-prefix forest: ``trees`` sorted arrays of hash strings learned on a sample, descended to the longest
+    prefix and ascended in step (``Forest``). What is open to a vector is compared exactly, in blocks; no window
+    or count caps it, so a group of any size and density is searched whole. A string with over TILE vectors or
+    askers is parted into that many more tiles, each asker meeting all of them. Cosines are verified in double
+    precision. A link may be listed once for each tree.
 
     Null, incomplete, non-finite and all-zero vectors are left out; length plays no part. Vectors equal in
     all numbers count as one record with several ``members``. Ties are ordered by id.
@@ -136,10 +215,8 @@ def close_pairs(df: DataFrame, key: str, vector: str, least: float | None = None
         sigs = [xxhash.xxh3_128_digest(r.tobytes()) for r in x + np.float32(0)]  # -0.0 becomes 0.0
         return pa.RecordBatch.from_arrays([column(batch, "id").take(pa.array(rows)), pa.array(sigs, pa.binary())], ["id", "sig"])
 
-    signed = map_batches(vectors, signature, "id long, sig binary")
-    members = cut_lineage(signed.withColumn("rep", F.min("id").over(Window.partitionBy("sig"))).select("rep", "id"))
-    copies = members.where("rep != id").select("id")
-    maybe = sc.broadcast(IdFilter.of(copies))
+    members, copies, n, many = fold_equal(map_batches(vectors, signature, "id long, sig binary"))
+    maybe = sc.broadcast(IdFilter.of(copies, many))
 
     def passing(of, wanted: bool):
         return lambda b: b.filter(pa.array(of.value.may_hold(column(b, "id").to_numpy(zero_copy_only=False)) == wanted))
@@ -147,7 +224,6 @@ def close_pairs(df: DataFrame, key: str, vector: str, least: float | None = None
     sure = map_batches(vectors, passing(maybe, False), "id long, v array<float>")
     unsure = map_batches(vectors, passing(maybe, True), "id long, v array<float>").join(copies, "id", "left_anti")
     reps = sure.unionByName(unsure)
-    n = members.where("rep = id").count()
     links_of = "rep long, other long, cosine double"
     if n < 2:
         return spark.createDataFrame([], links_of), members
@@ -162,63 +238,83 @@ def close_pairs(df: DataFrame, key: str, vector: str, least: float | None = None
 
     got = map_batches(sure, sampled, "n long, blob binary").collect() or map_batches(reps.limit(SAMPLE), sampled, "n long, blob binary").collect()
     sample = np.concatenate([_unpack(r.blob, r.n, dim) for r in got]) if got else np.ones((1, dim), np.float32)
-    cells = Cells(_unit(sample[: 2 * SAMPLE]).astype(np.float32), n, k, seed)
-    first = sc.broadcast(cells)
+    unit = _unit(sample[: 2 * SAMPLE]).astype(np.float32)
+    forest = Forest([Tree(unit, n, k, seed + i) for i in range(trees)], k, least)
+    first = sc.broadcast(forest)
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, sums = np.zeros(len(first.value.centres), np.int64), np.zeros(first.value.centres.shape)
+        own = [(np.zeros(len(t.centres), np.int64), np.zeros(t.centres.shape)) for t in first.value.trees]
         for batch in batches:
             _, x = usable(batch, "v", dim)
             if len(x):
                 x = _unit(x).astype(np.float32)
-                home = first.value.home(x)
-                sums += _sums(x, home, len(sums))
-                sizes += np.bincount(home, minlength=len(sizes))
-        at = np.flatnonzero(sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sizes[at]), pa.array([r.tobytes() for r in sums[at]], pa.binary())], ["cell", "n", "total"])
-
-    sizes, sums = np.zeros(len(cells.centres), np.int64), np.zeros(cells.centres.shape)
-    for r in reps.mapInArrow(totals, "cell long, n long, total binary").toLocalIterator():
-        sizes[r.cell] += r.n
-        sums[r.cell] += np.frombuffer(r.total)
-    cells.complete(sizes, sums)
-    ready = sc.broadcast(cells)
+                for t, (sizes, sums) in zip(first.value.trees, own):
+                    home = t.home(x)
+                    sums += _sums(x, home, len(sums))
+                    sizes += np.bincount(home, minlength=len(sizes))
+        task = TaskContext.get().partitionId()
+        for i, (sizes, sums) in enumerate(own):
+            at = np.flatnonzero(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int32()), pa.array(at), pa.array([task] * len(at), pa.int32()), pa.array(sizes[at]), pa.array([r.tobytes() for r in sums[at]], pa.binary())], ["tree", "cell", "task", "n", "total"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[tuple, list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                x = own.setdefault((r["tree"], r["cell"], r["task"]), [0, 0.0])
+                x[0] += r["n"]
+                x[1] = x[1] + np.frombuffer(r["total"])
+        for (tree, cell, task), (m, total) in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([cell]), pa.array([task], pa.int32()), pa.array([m]), pa.array([total.tobytes()], pa.binary())], ["tree", "cell", "task", "n", "total"])
+
+    sums_of = "tree int, cell long, task int, n long, total binary"
+    parts_, left = reps.mapInArrow(totals, sums_of), reps.rdd.getNumPartitions()
+    while left > 1:  # added up FAN tasks at a time, in tasks that grow with the input
+        left = -(-left // FAN)
+        parts_ = parts_.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).repartition(8 * left, "tree", "cell", "task").mapInArrow(added, sums_of)
+    sizes, sums = [np.zeros(len(t.centres), np.int64) for t in forest.trees], [np.zeros(t.centres.shape) for t in forest.trees]
+    for r in parts_.toLocalIterator():
+        sizes[r.tree][r.cell] += r.n
+        sums[r.tree][r.cell] += np.frombuffer(r.total)
+    for t, a, b in zip(forest.trees, sizes, sums):
+        t.complete(a, b)
+    ready = sc.broadcast(forest)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(len(ready.value.sizes), np.int64)
+        out = [np.zeros(len(t.sizes), np.int64) for t in ready.value.trees]
         for batch in batches:
             _, x = usable(batch, "v", dim)
             for i in range(0, len(x), STEP):
-                u = _unit(x[i : i + STEP]).astype(np.float32)
-                out += ready.value.wanted(u, ready.value.home(u)).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(out)), pa.array(out[out > 0])], ["cell", "n"])
-
-    askers = np.zeros(len(sizes), np.int64)
-    for r in reps.mapInArrow(asked, "cell long, n long").toLocalIterator():
-        askers[r.cell] += r.n
-    parts = sc.broadcast((-(-sizes // TILE), -(-askers // TILE)))
+                for own, (_, flags) in zip(out, ready.value.asks(_unit(x[i : i + STEP]).astype(np.float32))):
+                    own += flags.sum(axis=0)
+        for i, own in enumerate(out):
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int32()), pa.array(at), pa.array(own[at])], ["tree", "cell", "n"])
+
+    askers = [np.zeros(len(a), np.int64) for a in sizes]
+    for r in reps.mapInArrow(asked, "tree int, cell long, n long").groupBy("tree", "cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        askers[r.tree][r.cell] = r.n
+    cuts = [(-(-a // TILE), -(-b // TILE)) for a, b in zip(sizes, askers)]
+    parts = sc.broadcast(cuts)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, turns = parts.value
         ids, raw, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             i, x = np.concatenate(ids), np.concatenate(raw)
             salt = (i.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            homes, wants = np.empty(len(i), np.int64), np.empty((len(i), len(blocks)), bool)
-            for a in range(0, len(i), STEP):
-                u = _unit(x[a : a + STEP]).astype(np.float32)
-                homes[a : a + STEP] = h = ready.value.home(u)
-                wants[a : a + STEP] = ready.value.wanted(u, h)
-            for c in np.flatnonzero(wants.any(axis=0)):
-                own, ask = np.flatnonzero(homes == c), np.flatnonzero(wants[:, c])
-                rows = [(b, t, 0, own[salt[own] % blocks[c] == b]) for b in range(blocks[c]) for t in range(turns[c])]
-                rows += [(b, t, 1, ask[salt[ask] % turns[c] == t]) for b in range(blocks[c]) for t in range(turns[c])]
-                if blocks[c] == turns[c] == 1:  # members are sent once and ask where they stand
-                    rows[1] = (0, 0, 1, ask[homes[ask] != c])
-                for b, t, role, at in rows:
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([f"{c}/{b}/{t}"]), pa.array([role], pa.int32()), pa.array([i[at].tolist()], pa.list_(pa.int64())), pa.array([_pack(x[at])], pa.binary())], ["tile", "role", "ids", "blob"])
+            found = [ready.value.asks(_unit(x[a : a + STEP]).astype(np.float32)) for a in range(0, len(i), STEP)]
+            for tree, (blocks, turns) in enumerate(parts.value):
+                homes, wants = np.concatenate([f[tree][0] for f in found]), np.concatenate([f[tree][1] for f in found])
+                for c in np.flatnonzero(wants.any(axis=0)):
+                    own, ask = np.flatnonzero(homes == c), np.flatnonzero(wants[:, c])
+                    rows = [(b, t, 0, own[salt[own] % blocks[c] == b]) for b in range(blocks[c]) for t in range(turns[c])]
+                    rows += [(b, t, 1, ask[salt[ask] % turns[c] == t]) for b in range(blocks[c]) for t in range(turns[c])]
+                    if blocks[c] == turns[c] == 1:  # members are sent once and ask where they stand
+                        rows[1] = (0, 0, 1, ask[homes[ask] != c])
+                    for b, t, role, at in rows:
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([pa.array([f"{tree}/{ready.value.trees[tree].strings[c]}/{b}/{t}"]), pa.array([role], pa.int32()), pa.array([i[at].tolist()], pa.list_(pa.int64())), pa.array([_pack(x[at])], pa.binary())], ["tile", "role", "ids", "blob"])
 
         for batch in batches:
             rows, x = usable(batch, "v", dim)
@@ -232,7 +328,7 @@ def close_pairs(df: DataFrame, key: str, vector: str, least: float | None = None
 
     tiles = reps.mapInArrow(packed, "tile string, role int, ids array<long>, blob binary")
     tiles = tiles.repartition(max(2 * sc.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "tile").sortWithinPartitions("tile", "role")
-    alone = {f"{c}/0/0" for c in np.flatnonzero((parts.value[0] == 1) & (parts.value[1] == 1))}
+    alone = {f"{i}/{t.strings[c]}/0/0" for i, (t, (a, b)) in enumerate(zip(forest.trees, cuts)) for c in np.flatnonzero((a == 1) & (b == 1))}
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, ids, raw, unit = None, [], [], []
@@ -301,9 +397,12 @@ def nearest(links: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
     few = members.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("place") <= k + 1)
     # a vector's own record, where it has other members, and at most k of the others: those alone hold k members already
     own = members.where("rep != id").select("rep").distinct().select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("cosine"))
-    ranked = links.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k).drop("r")
+    best = Window.partitionBy("rep").orderBy(F.desc("cosine"), "other")
+    once = links.withColumn("same", F.lag("other").over(best)).where("same is null or same != other").drop("same")  # trees may repeat a link
+    ranked = once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     near = ranked.unionByName(own).join(few.select(F.col("rep").alias("other"), F.col("id").alias("neighbour")), "other")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "neighbour"))).where(F.col("r") <= k + 1)
-    each = members.join(near, "rep").where("id != neighbour")
+    listed = near.groupBy("rep").agg(F.collect_list(F.struct("cosine", "neighbour")).alias("near"))  # k + 1 at most
+    each = join_facts(members, listed, "rep").select("id", F.explode("near").alias("n")).select("id", "n.neighbour", "n.cosine").where("id != neighbour")
     each = each.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")))
     return each.where(F.col("rank") <= k).select("id", "neighbour", "cosine", "rank")

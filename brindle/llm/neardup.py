@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.arrow import column, map_batches, strings
 from brindle.llm.sketches import IdFilter, hashed_counts, rarity
-from brindle.plans.physical import cut_lineage
+from brindle.plans.physical import cut_lineage, join_facts
 
 COUNT_BITS = 22
 SHARED = 4
@@ -95,6 +95,19 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
     return suffix_bound(x[:m], y[:k], depth - 1) + same + suffix_bound(x[m + 1 :], y[k + same :], depth - 1)
 
 
+def fold_equal(signed: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """(members, copies, records, number of copies) of rows (id, sig).
+
+    members (rep, id): rows of one sig share its smallest id as rep; copies (id): the rows that aren't their
+    own rep. No task holds more than a part of the rows of one sig.
+    """
+    signed = cut_lineage(signed)  # ids and 16 bytes: what they were worked out from isn't read again
+    reps = signed.groupBy("sig").agg(F.min("id").alias("rep"))
+    members = cut_lineage(join_facts(signed, reps, "sig").select("rep", "id"))
+    n, many = members.agg(F.count(F.expr("case when rep = id then 1 end")), F.count(F.expr("case when rep != id then 1 end"))).first()
+    return members, members.where("id != rep").select("id"), n, many
+
+
 def similar_texts(df: DataFrame, key: str, text: str = "text", words: int = 5, threshold: float = 0.8, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
     """(links, members).
 
@@ -126,10 +139,8 @@ def similar_texts(df: DataFrame, key: str, text: str = "text", words: int = 5, t
             sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
         return pa.RecordBatch.from_arrays([column(batch, "id").take(pa.array(rows, pa.int64())), pa.array(sigs, pa.binary())], ["id", "sig"])
 
-    signed = map_batches(texts, signatures, "id long, sig binary")
-    members = cut_lineage(signed.join(signed.groupBy("sig").agg(F.min("id").alias("rep")), "sig").select("rep", "id"))
-    copies = members.where("id != rep").select("id")
-    maybe = sc.broadcast(IdFilter.of(copies))
+    members, copies, _, many = fold_equal(map_batches(texts, signatures, "id long, sig binary"))
+    maybe = sc.broadcast(IdFilter.of(copies, many))
 
     # Only rows that the filter can't clear are looked up in the list of copies.
     def in_filter(wanted: bool, of):
@@ -165,7 +176,7 @@ def similar_texts(df: DataFrame, key: str, text: str = "text", words: int = 5, t
     pairs = pairs.groupBy("rep_a", "rep_b").agg(F.sum("part").alias("parts")).where("parts >= 0.999999")
     pairs = cut_lineage(pairs.select("rep_a", "rep_b"))
 
-    wanted = sc.broadcast(IdFilter.of(pairs))
+    wanted = sc.broadcast(IdFilter.of(pairs, 2 * pairs.count()))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         batch = in_filter(True, wanted)(batch)
@@ -201,7 +212,7 @@ def similar_strings(df: DataFrame, key: str, value: str, threshold: float = 0.85
     """(links, members) of short strings with 1 - edit distance / longer length >= ``threshold``.
 
     links: (rep_a, rep_b) of different strings; members: (rep, id), equal strings sharing a rep. Null and
-    empty strings have no row. Lengths count UTF-16 units, as the JVM does.
+    empty strings have no row. Lengths count code points.
 
     With d edits allowed for a pair, the longer string is cut into disjoint 5-grams, of which an edit
     destroys one at most: one of its d + 1 rarest survives as a gram of the shorter, shifted by d at most.
@@ -211,8 +222,8 @@ def similar_strings(df: DataFrame, key: str, value: str, threshold: float = 0.85
         raise ValueError("threshold must be at least 0.8")
     named = df.select(df[key].cast("long").alias("id"), df[value].alias("name")).where("id is not null and name != ''")
     reps = named.groupBy("name").agg(F.min("id").alias("rep"))
-    members = cut_lineage(named.join(reps, "name").select("rep", "id", "name"))
-    names = members.where("id = rep").select("id", "name")
+    members = cut_lineage(join_facts(named, reps, "name").select("rep", "id"))
+    names = cut_lineage(reps.select(F.col("rep").alias("id"), "name"))
     sc, slack, q = df.sparkSession.sparkContext, 1 - threshold, GRAM
 
     def grams(name: str) -> list[int]:
@@ -258,10 +269,21 @@ def similar_strings(df: DataFrame, key: str, value: str, threshold: float = 0.85
     return pairs.where(distance <= allowed).select("rep_a", "rep_b"), members.select("rep", "id")
 
 
+BLOCK = 4096
+
+
 def unfold(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: every pair of members of linked or equal representatives. Large where copies are many: ``classes`` isn't."""
-    same = members.where("rep != id").select("rep").distinct()
-    inside = members.join(same, "rep").alias("l").join(members.alias("r"), (F.col("l.rep") == F.col("r.rep")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b"))
+    """(id_a, id_b), id_a < id_b: every pair of members of linked or equal representatives. Large where copies are many: ``classes`` isn't.
+
+    A group of over BLOCK members is taken in as many parts, each of which meets all members in a task of its own.
+    """
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    grouped = cut_lineage(join_facts(members, sizes.select("rep", parts.alias("parts")), "rep"))
+    left = grouped.select("rep", F.col("id").alias("x"), part.alias("part"))
+    right = grouped.select("rep", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    inside = left.join(right, ["rep", "part"]).where("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
     across = links.join(members.select(F.col("rep").alias("rep_a"), F.col("id").alias("x")), "rep_a").join(members.select(F.col("rep").alias("rep_b"), F.col("id").alias("y")), "rep_b")
     return inside.unionByName(across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")))
 
@@ -270,7 +292,8 @@ def classes(links: DataFrame, members: DataFrame) -> DataFrame:
     """(id, class_id, copies, links): one row per record; class_id is the smallest id with the same token set, links counts other classes within the threshold."""
     degree = links.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     sizes = members.groupBy("rep").agg(F.count("*").alias("copies"))
-    return members.join(sizes, "rep").join(degree, "rep", "left").select("id", F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    facts = sizes.join(degree, "rep", "left").select("rep", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return join_facts(members, facts, "rep").select("id", F.col("rep").alias("class_id"), "copies", "links")
 
 
 def file_stem(c):

@@ -180,6 +180,21 @@ def test_similar_strings_against_brute_force(spark):
     assert got == want
 
 
+def test_large_group_of_copies(spark):
+    rows = spark.range(60_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "one two three four five six").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.hex(F.col("id") * 8 + i)), " ")).alias("text"))
+    got = neardup.classes(*neardup.similar_texts(rows, "id", words=3, threshold=0.5)).groupBy("copies").agg(F.count("*").alias("n"), F.countDistinct("class_id").alias("k")).collect()
+    assert {(r.copies, r.n, r.k) for r in got if r.copies > 1} == {(20_000, 20_000, 1)}
+    names = spark.range(9_000).select("id", F.lit("same name.pdf").alias("name"))
+    links, members = neardup.similar_strings(names, "id", "name")
+    assert neardup.unfold(links, members).count() == 9_000 * 8_999 // 2
+
+
+def test_names_beyond_the_basic_plane(spark):
+    rows = [(1, "𝔞" * 20), (2, "𝔞" * 17 + "xyz"), (3, "𝔞" * 16 + "wxyz")]
+    got = {tuple(r) for r in neardup.unfold(*neardup.similar_strings(frame(spark, rows, "id long, name string"), "id", "name")).collect()}
+    assert got == {(1, 2), (2, 3)}
+
+
 def test_no_texts(spark):
     links, members = neardup.similar_texts(frame(spark, []), "id")
     assert links.count() == 0 and members.count() == 0
@@ -239,6 +254,32 @@ def test_nearest_without_a_floor(spark, tmp_path):
     assert len(want & got) >= 0.99 * len(want)
 
 
+def test_hash_strings_are_sorted_prefix_groups():
+    rng = np.random.default_rng(4)
+    t = forest.Tree(unit_rows(rng.standard_normal((500, 384))).astype(np.float32), 40000, 10, 1)
+    assert t.strings == sorted(t.strings) and len(set(t.strings)) == len(t.strings) == 50
+    for up in (0, 1, 3, len(t.low) - 1):
+        for i, own in enumerate(t.strings):
+            prefix = own[: max(0, len(own) - up)]
+            assert [j for j, o in enumerate(t.strings) if o.startswith(prefix)] == list(range(t.low[up][i], t.high[up][i]))
+    assert forest.hash_strings(np.ones((9, 4)), rng) and len(set(forest.hash_strings(np.ones((300, 4)), rng))) == 300
+
+
+@pytest.mark.parametrize("size", [200, 1000, 3000])
+def test_recall_in_clusters(spark, tmp_path, size):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(size)
+    x = rng.standard_normal((1, 384)) + 0.29 * rng.standard_normal((size, 384))
+    x = np.concatenate([x, rng.standard_normal((30, 384)).repeat(60, 0) + rng.standard_normal((1800, 384))]).astype(np.float32)
+    pq.write_table(pa.table({"id": np.arange(len(x)), "v": pa.array(list(x), pa.list_(pa.float32()))}), f"{tmp_path}/v.parquet")
+    df = spark.read.parquet(f"{tmp_path}/v.parquet")
+    results = [{(r.id, r.neighbour) for r in forest.nearest(*forest.close_pairs(df.repartition(p), "id", "v")).collect()} for p in (2, 24)]
+    want = true_nearest(unit_rows(x.astype(np.float64)), 10)
+    assert all(len(want & got) >= 0.95 * len(want) and len(got) == len(want) for got in results)
+
+
 # -- 2: statistics -----------------------------------------------------------------------------------
 
 
