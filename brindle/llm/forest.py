@@ -19,6 +19,7 @@ from brindle.llm.sketches import FAN, IdFilter
 from brindle.plans.physical import join_facts
 
 DIM, SEED, TREES = 384, 7, 2
+FEW = 1 << 20  # ids of copies that may be sent to every task
 SAMPLE, TILE, HELD, STEP = 8192, 16384, 16384, 512  # vectors in the sample (about), a tile, a packing buffer, a product
 
 
@@ -216,14 +217,17 @@ def close_pairs(df: DataFrame, key: str, vector: str, least: float | None = None
         return pa.RecordBatch.from_arrays([column(batch, "id").take(pa.array(rows)), pa.array(sigs, pa.binary())], ["id", "sig"])
 
     members, copies, n, many = fold_equal(map_batches(vectors, signature, "id long, sig binary"))
-    maybe = sc.broadcast(IdFilter.of(copies, many))
+    maybe = sc.broadcast(IdFilter.of(copies, many)) if many > FEW else None
 
     def passing(of, wanted: bool):
         return lambda b: b.filter(pa.array(of.value.may_hold(column(b, "id").to_numpy(zero_copy_only=False)) == wanted))
 
-    sure = map_batches(vectors, passing(maybe, False), "id long, v array<float>")
-    unsure = map_batches(vectors, passing(maybe, True), "id long, v array<float>").join(copies, "id", "left_anti")
-    reps = sure.unionByName(unsure)
+    if many <= FEW:  # then the ids themselves may be sent, and one reading of the table does
+        listed = sc.broadcast(np.sort(np.array([r.id for r in copies.toLocalIterator()], np.int64)))
+        reps = map_batches(vectors, lambda b: b.filter(pa.array(~np.isin(column(b, "id").to_numpy(zero_copy_only=False), listed.value, assume_unique=False))), "id long, v array<float>")
+    else:
+        sure = map_batches(vectors, passing(maybe, False), "id long, v array<float>")
+        reps = sure.unionByName(map_batches(vectors, passing(maybe, True), "id long, v array<float>").join(copies, "id", "left_anti"))
     links_of = "rep long, other long, cosine double"
     if n < 2:
         return spark.createDataFrame([], links_of), members
@@ -236,7 +240,7 @@ def close_pairs(df: DataFrame, key: str, vector: str, least: float | None = None
         _, x = usable(b, "v", dim)
         return pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([_pack(x)], pa.binary())], ["n", "blob"]) if len(x) else None
 
-    got = map_batches(sure, sampled, "n long, blob binary").collect() or map_batches(reps.limit(SAMPLE), sampled, "n long, blob binary").collect()
+    got = map_batches(reps, sampled, "n long, blob binary").collect() or map_batches(reps.limit(SAMPLE), sampled, "n long, blob binary").collect()
     sample = np.concatenate([_unpack(r.blob, r.n, dim) for r in got]) if got else np.ones((1, dim), np.float32)
     unit = _unit(sample[: 2 * SAMPLE]).astype(np.float32)
     forest = Forest([Tree(unit, n, k, seed + i) for i in range(trees)], k, least)
@@ -280,21 +284,11 @@ def close_pairs(df: DataFrame, key: str, vector: str, least: float | None = None
         t.complete(a, b)
     ready = sc.broadcast(forest)
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = [np.zeros(len(t.sizes), np.int64) for t in ready.value.trees]
-        for batch in batches:
-            _, x = usable(batch, "v", dim)
-            for i in range(0, len(x), STEP):
-                for own, (_, flags) in zip(out, ready.value.asks(_unit(x[i : i + STEP]).astype(np.float32))):
-                    own += flags.sum(axis=0)
-        for i, own in enumerate(out):
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int32()), pa.array(at), pa.array(own[at])], ["tree", "cell", "n"])
-
-    askers = [np.zeros(len(a), np.int64) for a in sizes]
-    for r in reps.mapInArrow(asked, "tree int, cell long, n long").groupBy("tree", "cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        askers[r.tree][r.cell] = r.n
-    cuts = [(-(-a // TILE), -(-b // TILE)) for a, b in zip(sizes, askers)]
+    askers = [np.zeros(len(a)) for a in sizes]  # about, from the sample: they only say how many tasks share a string's askers
+    for i in range(0, len(unit), STEP):
+        for own, (_, flags) in zip(askers, forest.asks(unit[i : i + STEP])):
+            own += flags.sum(axis=0) * (n / len(unit))
+    cuts = [(-(-a // TILE), np.ceil(np.maximum(b, 1) / TILE).astype(np.int64)) for a, b in zip(sizes, askers)]
     parts = sc.broadcast(cuts)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
