@@ -37,9 +37,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id")
     chunks = spread(table(spark, d, "chunks").select("chunk_no", "text"), "chunk_no")
-    parts = []
+    parts, counts = [], quality.unit_counts(docs)
     for name, df, key, lang in (("documents", docs, "doc_id", "lang"), ("chunks", chunks, "chunk_no", None)):
-        parts.append(quality.text_statistics(df, key, lang=lang, dictionary=docs).withColumnRenamed(key, "item_id").withColumn("item_table", F.lit(name)))
+        parts.append(quality.text_statistics(df, key, lang=lang, counts=counts).withColumnRenamed(key, "item_id").withColumn("item_table", F.lit(name)))
     return parts[0].unionByName(parts[1])
 
 

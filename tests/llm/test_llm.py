@@ -295,6 +295,34 @@ def test_common_words_of_a_rare_language(spark):
     assert got == {1: 1.0, 2: 1.0, 3: 0.0}
 
 
+def test_cut_parts_two_kinds():
+    bins = lambda values: np.bincount([min(511, int(np.log2(v * 1000 + 1) * 16)) for v in values], minlength=512).astype(float)
+    rnd = random.Random(1)
+    known = [rnd.uniform(0.85, 1) for _ in range(900)] + [rnd.uniform(0, 0.2) for _ in range(60)]
+    assert 0.2 < quality.cut_of(bins(known), False) < 0.85
+    items = [rnd.uniform(0, 0.4) for _ in range(900)] + [1.0] * 60
+    assert 0.5 < quality.cut_of(bins(items), True) < 1
+    assert 0 <= quality.cut_of(bins([0.5] * 10), True) <= 1
+
+
+def test_prose_of_rare_languages_is_no_junk(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice("the committee reviewed a report on roof repair and moved every deadline".split()) for _ in range(40)) + ".", "en") for i in range(300)]
+    rows += [(1000 + i, "".join(rnd.choice("bcdfghjklmnpqrstvwxz     ") for _ in range(300)), rnd.choice(["en", None])) for i in range(30)]
+    rows += [(2000 + i, "".join(rnd.choice("#$%^&*{}[]<>=+~|  ") for _ in range(200)), "en") for i in range(5)]
+    rows += [
+        (1, "Комитет рассмотрел отчёт о ремонте крыши и решил перенести срок до осени. Жильцы попросили прислать смету раньше.", "ru"),
+        (2, "위원회는 지난 회의에서 예산안을 검토하고 다음 달까지 결정을 미루기로 했다. 주민들은 더 많은 자료를 요청했으며 회의록은 곧 공개될 예정이다.", "ko"),
+        (3, "Η επιτροπή εξέτασε την έκθεση για την επισκευή και αποφάσισε να μεταθέσει την προθεσμία.", "el"),
+    ]
+    df = frame(spark, [(i + 5000, t, lg) if i < 300 and lg == "en" and "committee" in t else (i, t, lg) for i, t, lg in rows], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.text_statistics(df, "doc_id").collect()}
+    assert [got[i].form for i in (1, 2, 3)] == ["prose"] * 3
+    assert [got[i].lang_group for i in (1, 2, 3)] == ["cyrillic", "hangul", "greek"]
+    assert {r.form for i, r in got.items() if 1000 <= i < 1030} == {"junk"} and {r.form for i, r in got.items() if 2000 <= i < 2010} == {"junk"}
+    assert {r.form for i, r in got.items() if i >= 5000} == {"prose"}
+
+
 def test_forms(spark):
     rnd = random.Random(4)
     nouns, verbs = [f"noun{c}" for c in "abcdefghij"], [f"verb{c}" for c in "abcdefghij"]
