@@ -360,6 +360,57 @@ def test_scan_noise_and_repair():
     assert scans.kinds_of("", reader) == [] and scans.Repaired("", reader).paragraphs == []
 
 
+WORDS = "the receipt was certified reviewed by committee and long-term budget beyond annual shipment of public office adjusted whole for following year without delay as".split()
+
+
+@pytest.mark.parametrize(
+    "read, meant, hyphens, misread",
+    [
+        ("the com mittee reviewed the budget", "the committee reviewed the budget", 0, 0),
+        ("cert ified by the office", "certified by the office", 0, 0),
+        ("thecommittee reviewed", "the committee reviewed", 0, 0),
+        ("thecornmittee reviewed the budget", "the committee reviewed the budget", 0, 1),
+        ("the com rnittee was", "the committee was", 0, 1),
+        ("thecom mittee was", "the committee was", 0, 0),
+        ("the comm-\nittee was", "the committee was", 1, 0),
+        ("a long-\nterm budget", "a long-term budget", 0, 0),
+        ("Klopmerin was certi fied.", "Klopmerin was certified.", 0, 0),
+        ("the public office and the budget", "the public office and the budget", 0, 0),
+    ],
+)
+def test_lattice(read, meant, hyphens, misread):
+    r = scans.Repaired(read, scans.Reader({w: 5000 for w in WORDS}, []))
+    assert ("\n\n".join(r.paragraphs), r.hyphens, r.misread) == (meant, hyphens, misread)
+
+
+def test_garbage_is_not_corrected():
+    rnd = random.Random(3)
+    text = " ".join("".join(rnd.choice("bcdefhilmnortu") for _ in range(rnd.randint(3, 5))) for _ in range(200))
+    assert scans.kinds_of(text, scans.Reader({**{w: 5000 for w in WORDS}, **{w: 40 for w in ("hot", "term", "mint", "unit", "role")}}, [])) == []
+
+
+def test_breaks_within_scripts_without_spaces(spark):
+    docs = frame(spark, [(i, "委员会审查了年度预算。货物按时送达办公室。") for i in range(5)] + [(9, "委员会审查了年\n度预算。货物 按时送\n达办公室。")], "doc_id long, text string")
+    got = {r.doc_id: r.clean_text for r in scans.repair(docs, scans.fit_reader(docs), "doc_id").collect()}
+    assert got[9] == got[0]
+
+
+def test_page_numbers_and_many_titles():
+    assert scans._sequence([(0, 7), (40, 8), (60, 99), (80, 9), (81, 3), (120, 11)]) == [0, 40, 80, 120]
+    assert scans._sequence([]) == [] == scans._sequence([(3, 5)])
+    body = "the committee reviewed the whole budget and the\nshipment was adjusted for the following year by the\noffice without delay as the receipt was certified"
+    lines = []
+    for chapter in "ABCDEFGH":
+        for page in range(3):
+            lines += [f"CHAPTER {chapter * 6}", *(body + ".").split("\n") * 3, f"- {len(lines) + 1} -"]
+    number, out = 0, []
+    for x in lines:
+        number += x.startswith("- ")
+        out.append(f"- {number} -" if x.startswith("- ") else x)
+    f = scans.Furniture(out)
+    assert {i for i, x in enumerate(out) if x.startswith("CHAPTER")} <= f.titles and f.n_numbers == 24
+
+
 def test_scan_tables(spark):
     docs = frame(spark, [(1, "the budget of the year " * 5), (2, None), (3, "")], "doc_id long, text string")
     reader = scans.fit_reader(docs)
