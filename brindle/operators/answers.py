@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import collapse, short_id, unfence
@@ -27,19 +27,33 @@ def sub_questions(raw: Column, query: Column) -> Column:
     return F.coalesce(parsed, F.array(query))
 
 
-def context(hits: DataFrame) -> DataFrame:
-    """(query_id, context): the texts of hits (query_id, rank, chunk_id, text) in rank order, each under its short id.
+def labelled(hits: DataFrame) -> DataFrame:
+    """Hits with ``label``, their short id, or their place where two hits of a query would share one."""
+    out = hits.withColumn("label", short_id(F.col("chunk_id"), F.col("rank") - 1))
+    clash = F.count("*").over(Window.partitionBy("query_id", "label")) > 1
+    return out.withColumn("label", F.when(clash, F.concat(F.lit("C#"), F.col("rank").cast("string"))).otherwise(F.col("label")))
 
-    Where two hits of a query would share a short id, each takes its place in the list instead.
-    """
-    from pyspark.sql import Window
 
-    label = short_id(F.col("chunk_id"), F.col("rank") - 1)
-    out = hits.withColumn("label", label)
-    clash = F.count("*").over(Window.partitionBy("query_id", "label")) > 1
-    out = out.withColumn("label", F.when(clash, F.concat(F.lit("C#"), F.col("rank").cast("string"))).otherwise(F.col("label")))
+def context(hits: DataFrame) -> DataFrame:
+    """(query_id, context): the texts of hits (query_id, rank, chunk_id, text) in rank order, each under its short id."""
     part = F.struct("rank", F.concat(F.lit("["), "label", F.lit("]\n"), "text").alias("part"))
-    return out.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.part), SEPARATOR).alias("context"))
+    return labelled(hits).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.part), SEPARATOR).alias("context"))
+
+
+INSUFFICIENT = "INSUFFICIENT_CONTEXT"
+
+
+def insufficient(answer: Column) -> Column:
+    """Whether an answer says, anywhere, that the context doesn't do; a null one does not."""
+    return F.coalesce(F.contains(answer, F.lit(INSUFFICIENT)), F.lit(False))
+
+
+def result(state: DataFrame) -> DataFrame:
+    """(run_id, answer, citations, route, confidence) of finished runs; missing values are empty, a missing confidence is ``none``."""
+    return state.select(
+        "run_id", F.coalesce("answer", F.lit("")).alias("answer"), F.array_join(F.coalesce("citations", F.array().cast("array<string>")), ",").alias("citations"),
+        F.coalesce("route", F.lit("")).alias("route"), F.coalesce("confidence", F.lit("none")).alias("confidence"),
+    )
 
 
 def cited(answer: Column) -> Column:
@@ -62,9 +76,3 @@ def gate(score: Column, n: Column, passing: float = 0.0, retrying: float = -3.0)
     """pass, retry or refuse by the best rerank score; no rows refuse, a missing score passes."""
     s = F.coalesce(score, F.lit(0.0))
     return F.when(F.coalesce(n, F.lit(0)) == 0, "refuse").when(s >= passing, "pass").when(s >= retrying, "retry").otherwise("refuse")
-
-
-def overlap_score(query_tokens: Column, text_tokens: Column) -> Column:
-    """Share of the query's distinct words found in the text, on the scale -10 to 10: a deterministic stand-in for a cross-encoder."""
-    asked = F.array_distinct(query_tokens)
-    return F.round(F.try_divide(F.size(F.array_intersect(asked, text_tokens)) * F.lit(20.0), F.size(asked)) - 10.0, 6)

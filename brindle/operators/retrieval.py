@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.text import capitalised, collapse, ngrams, strip_glued_digits, tokens
+from brindle.functions.text import tokens
+from brindle.operators.providers import DEFAULTS, Providers, cleaned
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -23,13 +25,38 @@ def top(df: DataFrame, score: str, k: int, rank: str) -> DataFrame:
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` (narrow) rows, counted first; else as it is."""
+    df = df.persist()
+    small = df.count() <= most
+    return F.broadcast(df) if small else df
+
+
+def count_in_rows(df: DataFrame, key: str) -> DataFrame:
+    """(key, items ARRAY<STRING>) to (item, key, n, size): each row's items counted within the row, without a shuffle; size is the number of its items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, lists = b.column(0), b.column(1).to_pylist()
+            rows, items, counts, sizes = [], [], [], []
+            for i, own in enumerate(lists):
+                n = Counter(own)
+                rows += [i] * len(n)
+                items += n.keys()
+                counts += n.values()
+                sizes += [len(own)] * len(n)
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), keys.take(pa.array(rows, pa.int64())), pa.array(counts, pa.int64()), pa.array(sizes, pa.int32())], ["item", "key", "n", "size"])
+
+    return df.mapInArrow(run, f"item string, key {df.schema[key].dataType.simpleString()}, n long, size int")
+
+
 # -- keyword leg -------------------------------------------------------------------------------------
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_no, tf, dl). The length is taken before exploding, so no join brings it back."""
+    """(term, chunk_no, tf, dl), a row for each distinct term of a chunk; counted within the chunk's row."""
     t = chunks.where("text is not null").select("chunk_no", tokens(F.col("text")).alias("t"))
-    return t.select("chunk_no", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "chunk_no").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return count_in_rows(t, "chunk_no").toDF("term", "chunk_no", "tf", "dl")
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -45,134 +72,200 @@ def terms(posts: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf0") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf0")).alias("idf"))
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, chunk_no, bm25_score_raw, bm25_score, bm25_rank): the k best with a positive score; bm25_score is relative to the query's best."""
-    posts = postings(chunks)
-    stats = corpus_stats(chunks)
+def bm25_hits(posts: DataFrame, vocabulary: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, chunk_no, bm25_score_raw, bm25_score, bm25_rank): the k best with a positive score; bm25_score is relative to the query's best.
+
+    The queries' terms, with their idf, go to the postings, not the postings to them: those are read once, without a shuffle.
+    """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("m"))
-    hits = posts.join(asked, "term").join(terms(posts, stats), "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    part = F.col("m") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    asked = few(vocabulary.join(few(asked), "term").select("query_id", "term", (F.col("m") * F.col("idf")).alias("w")))
+    hits = posts.join(asked, "term").crossJoin(F.broadcast(stats.select("avgdl")))  # one row
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "chunk_no").agg(F.sum(part).alias("score")).where(F.round("score", 9) > 0)
     best = top(scored, "score", k, "bm25_rank")
     share = F.col("score") / F.max("score").over(Window.partitionBy("query_id"))
     return best.select("query_id", "chunk_no", F.col("score").alias("bm25_score_raw"), share.alias("bm25_score"), "bm25_rank")
 
 
+def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """``bm25_hits`` of chunks that have no stored index."""
+    posts, stats = postings(chunks), corpus_stats(chunks)
+    return bm25_hits(posts, terms(posts, stats), stats, queries, k)
+
+
 # -- vector leg --------------------------------------------------------------------------------------
 
 
+def _matrix(v: pa.Array, ids: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit rows) of the usable vectors."""
+    at = v.offsets.to_numpy()
+    right = np.flatnonzero((np.diff(at) == dim) & v.is_valid().to_numpy(zero_copy_only=False))
+    flat = v.values.to_numpy(zero_copy_only=False).astype(np.float64)  # null elements become NaN
+    x = flat[at[right][:, None] + np.arange(dim)] if len(right) else np.zeros((0, dim))
+    norm = np.linalg.norm(x, axis=1)
+    keep = np.isfinite(norm) & (norm > 0)
+    return ids[right][keep], x[keep] / norm[keep, None]
+
+
+class _Best:
+    """The k best of what queries have met so far; equal scores (to nine places) by id."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int):
+        self.q_ids, self.q, self.k = q_ids, q, k
+        self.ids, self.scores = np.zeros((len(q_ids), 0), np.int64), np.zeros((len(q_ids), 0))
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        if not len(ids) or not len(self.q_ids):
+            return
+        s = self.q @ x.T
+        if len(ids) > 4 * self.k:  # all that reach the k-th best score, ties included
+            near = np.round(s, 9)
+            bound = np.partition(near, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+            wide = int((near >= bound[:, None]).sum(axis=1).max())
+            take = np.argpartition(-near, min(wide, len(ids) - 1), axis=1)[:, :wide]
+            s, new = np.take_along_axis(s, take, 1), ids[take]
+        else:
+            new = np.broadcast_to(ids, s.shape)
+        every, names = np.concatenate([self.scores, s], axis=1), np.concatenate([self.ids, new], axis=1)
+        order = np.lexsort((names, -np.round(every, 9)), axis=1)[:, : self.k]
+        self.scores, self.ids = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
+
+    def batch(self) -> pa.RecordBatch:
+        n = self.ids.shape[1]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.q_ids, n)), pa.array(self.ids.reshape(-1)), pa.array(self.scores.reshape(-1))], ["query_id", "chunk_no", "score"])
+
+
+TILE = 32_768  # vectors of a tile where queries are too many to be sent to every task
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
     """(query_id, chunk_no, score, rank): exact cosine neighbours of the query vectors (query_id, v) among (chunk_no, v).
 
-    Queries are taken in blocks of a fixed size; a task multiplies its rows with the block and keeps its
-    own k best, so k rows a task and query are shuffled, whatever the tables' sizes. Vectors of another
-    length, with nulls or without direction are left out.
+    Up to BLOCK queries are sent to all tasks and the vectors read once, where they lie; each task keeps
+    one running list of the k best. More queries are parted into blocks of BLOCK and the vectors, by the
+    hash of their id, into tiles of about TILE; every block meets every tile in some task, and neither passes
+    the driver. Vectors of another length, with nulls or without direction are left out.
     """
+    spark = vectors.sparkSession
+    asked = queries.select("query_id", "v").where("v is not null").persist()
+    n = asked.count()
+    shape = "query_id long, chunk_no long, score double"
+    if n <= BLOCK:
+        rows = asked.toArrow().combine_chunks().to_batches()
+        shared = spark.sparkContext.broadcast(_matrix(rows[0].column(1), rows[0].column(0).to_numpy(), dim) if rows else (np.zeros(0, np.int64), np.zeros((0, dim))))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(*shared.value, k)
+            for b in batches:
+                best.meet(*_matrix(b.column(1), b.column(0).to_numpy(), dim))
+            yield best.batch()
+
+        return top(vectors.select("chunk_no", "v").where("v is not null").mapInArrow(scan, shape), "score", k, "rank")
 
-    def matrix(v: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = v.offsets.to_numpy()
-        right = np.flatnonzero((np.diff(at) == dim) & v.is_valid().to_numpy(zero_copy_only=False))
-        flat = v.values.to_numpy(zero_copy_only=False).astype(np.float64)  # null elements become NaN
-        x = flat[at[right][:, None] + np.arange(dim)] if len(right) else np.zeros((0, dim))
-        norm = np.linalg.norm(x, axis=1)
-        keep = np.isfinite(norm) & (norm > 0)
-        return ids[right][keep], x[keep] / norm[keep, None]
-
-    sc = vectors.sparkSession.sparkContext
-    parts, block = [], []
-    blocks: list[list] = []
-    for r in queries.select("query_id", "v").toLocalIterator():
-        block.append((r.query_id, list(r.v) if r.v is not None else None))
-        if len(block) == BLOCK:
-            blocks.append(block)
-            block = []
-    blocks.append(block)
-    for one in blocks:
-        shared = sc.broadcast(matrix(pa.array([v for _, v in one], pa.list_(pa.float64())), np.array([i for i, _ in one], dtype=np.int64)))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
+    tiles, blocks = max(1, -(-vectors.count() // TILE)), -(-n // BLOCK)
+
+    def sent(mine: int, others: int, role: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, x = matrix(b.column(1), b.column(0).to_numpy())
-                if not len(ids) or not len(q_ids):
-                    continue
-                order = np.argsort(ids, kind="stable")
-                ids, s = ids[order], q @ x[order].T
-                take = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
-                n = take.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(ids[take].reshape(-1)), pa.array(np.take_along_axis(s, take, 1).reshape(-1))], ["query_id", "chunk_no", "score"])
-
-        parts.append(vectors.select("chunk_no", "v").mapInArrow(best, "query_id long, chunk_no long, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top(out, "score", k, "rank")
+                ids, x = _matrix(b.column(1), b.column(0).to_numpy(), dim)
+                place = ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % mine
+                for p in np.unique(place):
+                    own = place == p
+                    for o in range(others):
+                        tile, block = (p, o) if role == 0 else (o, p)
+                        yield pa.RecordBatch.from_arrays([pa.array([f"{tile}/{block}"]), pa.array([role], pa.int32()), pa.array([ids[own].tolist()], pa.list_(pa.int64())), pa.array([x[own].tobytes()], pa.binary())], ["cell", "role", "ids", "blob"])
+
+        return run
+
+    cell = "cell string, role int, ids array<long>, blob binary"
+    # the queries come first and stay; the tile's vectors pass by
+    parts = asked.mapInArrow(sent(blocks, tiles, 1), cell).withColumn("role", F.lit(0)).unionByName(vectors.select("chunk_no", "v").where("v is not null").mapInArrow(sent(tiles, blocks, 0), cell).withColumn("role", F.lit(1)))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, best = None, [], None
+        for b in batches:
+            for r in b.to_pylist():
+                if r["cell"] != cell:
+                    if best is not None:
+                        yield best.batch()
+                    cell, held, best = r["cell"], [], None
+                ids, x = np.array(r["ids"], np.int64), np.frombuffer(r["blob"]).reshape(-1, dim)
+                if r["role"] == 0:
+                    held.append((ids, x))
+                elif held:
+                    best = best or _Best(np.concatenate([i for i, _ in held]), np.concatenate([y for _, y in held]), k)
+                    best.meet(ids, x)
+        if best is not None:
+            yield best.batch()
+
+    met = parts.repartition(min(tiles * blocks, 10 * max(200, spark.sparkContext.defaultParallelism)), "cell").sortWithinPartitions("cell", "role").mapInArrow(compare, shape)
+    return top(met, "score", k, "rank")
 
 
 BUCKETS = 64
 
 
-def hashed_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, v): bag of words in 64 hash buckets, unit length: a deterministic stand-in for a sentence encoder. Texts without words have none."""
-    bucket = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(BUCKETS))
-    b = df.where(F.col(text).isNotNull()).select(key, F.transform(tokens(F.col(text)), bucket).alias("b")).where(F.size("b") > 0)
-    counts = b.select(key, F.explode("b").alias("x")).groupBy(key).agg(*[F.count(F.when(F.col("x") == i, 1)).alias(f"c{i}") for i in range(BUCKETS)])
-    v = F.array(*[F.col(f"c{i}").cast("double") for i in range(BUCKETS)])
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return counts.select(key, v.alias("v")).withColumn("norm", norm).select(key, F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
+    near = knn(vectors, queries, k, dim)
+    return near.select("query_id", "chunk_no", F.col("score").alias("vector_score"), F.col("rank").alias("vector_rank"))
 
 
-def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    near = knn(hashed_vectors(chunks, "chunk_no", "text"), hashed_vectors(queries, "query_id", "query"), k, BUCKETS)
-    return near.select("query_id", "chunk_no", F.col("score").alias("vector_score"), F.col("rank").alias("vector_rank"))
+def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 20, providers: Providers = DEFAULTS) -> DataFrame:
+    encode = providers.encoder.vectors
+    return vector_hits(encode(chunks, "chunk_no", "text"), encode(queries, "query_id", "query"), k, providers.encoder.dim)
 
 
 # -- graph leg ---------------------------------------------------------------------------------------
 
 
-def signals(df: DataFrame, key: str, text, query: bool = False) -> DataFrame:
-    """(key, sid, label): entity signals (``ent_``) and concept signals (``np_``) of a text, with repeats of concepts."""
-    base = df.select(key, text.alias("t")).where("t is not null")
-    clean = base.select(key, (F.col("t") if query else strip_glued_digits(F.col("t"))).alias("t"))
-    clean = clean.select(key, "t", tokens(F.col("t")).alias("w"))  # worked out once, not in every lambda
-    ents = F.transform(F.array_distinct(F.transform(capitalised(F.col("t")), F.lower)), lambda e: F.struct(F.concat(F.lit("ent_"), e).alias("sid"), F.lit("CAP").alias("label")))
-    nps = F.transform(ngrams(F.col("w")), lambda g: F.struct(F.concat(F.lit("np_"), g).alias("sid"), F.lit(None).cast("string").alias("label")))
-    return clean.select(key, F.explode(F.concat(ents, nps)).alias("s")).select(key, "s.sid", "s.label")
+def contains_edges(chunks: DataFrame, providers: Providers = DEFAULTS) -> DataFrame:
+    """(chunk_no, sid, label, count): signals of each chunk, counted within its row."""
+    rows = cleaned(chunks, "chunk_no", F.col("text"), False, providers.extractor)
+    packed = rows.select("chunk_no", F.transform("s", lambda x: F.concat(F.coalesce(x.label, F.lit("")), F.lit("\x1f"), x.sid)).alias("s"))
+    counted = count_in_rows(packed, "chunk_no")
+    parts = F.split("item", "\x1f", 2)
+    return counted.select(F.col("key").alias("chunk_no"), parts[1].alias("sid"), F.nullif(parts[0], F.lit("")).alias("label"), F.col("n").alias("count"))
 
 
-def contains_edges(chunks: DataFrame) -> DataFrame:
-    """(chunk_no, sid, count)."""
-    return signals(chunks, "chunk_no", F.col("text")).groupBy("chunk_no", "sid").agg(F.count("*").alias("count"))
+def nodes(edges: DataFrame) -> DataFrame:
+    """(sid, label, degree): entity and concept nodes with the label of the first chunk that has one, and how many chunks have them."""
+    return edges.groupBy("sid").agg(F.min_by("label", "chunk_no").alias("label"), F.count("*").alias("degree"))
 
 
-def graph_search(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def graph_hits(edges: DataFrame, known: DataFrame, queries: DataFrame, k: int = 20, providers: Providers = DEFAULTS) -> DataFrame:
     """(query_id, chunk_no, graph_score, graph_rank): share of the weight 1/ln(1+degree) of the query's signals that a chunk has.
 
-    Edges are cut to the queries' signals before degrees are counted, so the n-gram table is never
-    aggregated as a whole.
+    The queries' signals, weighted, go to the edges, which are read once, without a shuffle.
     """
-    asked = signals(queries, "query_id", F.col("query"), query=True).select("query_id", "sid").distinct()
-    edges = signals(chunks, "chunk_no", F.col("text")).join(asked.select("sid").distinct(), "sid", "left_semi").select("sid", "chunk_no").distinct()
-    weights = edges.groupBy("sid").agg((1 / F.log1p(F.count("*").cast("double"))).alias("idf"))
-    total = asked.join(weights, "sid").groupBy("query_id").agg(F.sum("idf").alias("total"))
-    matched = edges.join(weights, "sid").join(asked, "sid").groupBy("query_id", "chunk_no").agg(F.sum("idf").alias("got"))
+    asked = cleaned(queries, "query_id", F.col("query"), True, providers.extractor).select("query_id", F.explode(F.array_distinct(F.transform("s", lambda x: x.sid))).alias("sid"))
+    weighed = few(known.join(few(asked), "sid").select("query_id", "sid", (1 / F.log1p(F.col("degree").cast("double"))).alias("idf")))
+    total = weighed.groupBy("query_id").agg(F.sum("idf").alias("total"))
+    matched = edges.select("sid", "chunk_no").join(weighed, "sid").groupBy("query_id", "chunk_no").agg(F.sum("idf").alias("got"))
     scored = matched.join(total, "query_id").select("query_id", "chunk_no", F.round(F.col("got") / F.col("total"), 6).alias("graph_score"))
     return top(scored, "graph_score", k, "graph_rank")
 
 
+def graph_search(chunks: DataFrame, queries: DataFrame, k: int = 20, providers: Providers = DEFAULTS) -> DataFrame:
+    """``graph_hits`` of chunks that have no stored graph."""
+    edges = contains_edges(chunks, providers)
+    return graph_hits(edges, nodes(edges), queries, k, providers)
+
+
 # -- fusion ------------------------------------------------------------------------------------------
 
 
-def fuse(vector: DataFrame, bm25: DataFrame, graph: DataFrame, k: int = 5, weights: dict[str, float] = WEIGHTS, rrf_k: int = RRF_K) -> DataFrame:
+def fuse(vector: DataFrame | None, bm25: DataFrame | None, graph: DataFrame | None, k: int = 5, weights: dict[str, float] = WEIGHTS, rrf_k: int = RRF_K) -> DataFrame:
     """Weighted reciprocal rank fusion: one union and one aggregation instead of two outer joins.
 
     Ties go to the vector list's order, then the keyword list's, then the graph's. Rows carry ids and
-    scores only; texts are joined after the cut.
+    scores only; texts are joined after the cut. A leg that is None, for it can't reach the result, has no hits.
     """
     none = F.lit(None)
     legs = {"vector": vector, "bm25": bm25, "graph": graph}
     rows = None
     for name, df in legs.items():
+        if df is None:
+            continue
         cols = ["query_id", "chunk_no"]
         for n in legs:
             mine = n == name

@@ -24,18 +24,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores * 2, *[F.col(k) for k in keys])
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``. Only a local session may do without one.
+_own: dict[str, str] = {}
 
-    Whether old checkpoints are deleted is up to ``spark.cleaner.referenceTracking.cleanCheckpoints``.
-    """
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, which all executors share. Only a local session may do without one."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where and not sc.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), f"brindle-{uuid.uuid4().hex}"))
+    return where or _own.setdefault(sc.applicationId, os.path.join(tempfile.gettempdir(), f"brindle-{uuid.uuid4().hex}"))
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Whether old checkpoints are deleted is up to ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +51,7 @@ def read_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], ["path", "filename", "doc_type", "text", "error"])
 
-    every = files.mapInArrow(read, DOCUMENT)
+    every = files.mapInArrow(read, DOCUMENT).persist(StorageLevel.DISK_ONLY)  # two outputs, one reading
     good = every.where(F.col("error").isNull() & F.col("text").rlike(r"\S")).drop("error")
     return good, every.where(F.col("error").isNotNull()).select("path", "error")
 
@@ -69,11 +72,42 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_index(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
-    """An index table; with ``schema``, an empty table where it is missing or unreadable, else an error."""
+    """An index table; with ``schema``, an empty table where it is missing or its first row can't be read, else an error."""
     try:
         df = spark.read.parquet(f"{folder}/{name}")
+        if schema is not None:
+            df.head(1)
         return df
     except AnalysisException:
         if schema is None:
             raise FileNotFoundError(f"no index table {name} in {folder}") from None
-        return spark.createDataFrame([], schema)
+    except (PySparkException, Py4JJavaError) as e:
+        if schema is None:
+            raise OSError(f"index table {name} in {folder} can't be read") from e
+    return spark.createDataFrame([], schema)
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files below a path: another stamp, another content."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(out)).encode()).hexdigest()
+
+
+def in_order(documents: DataFrame, by: str = "path") -> DataFrame:
+    """``documents`` with ``ordinal`` BIGINT, from 0 in the order of ``by``: ranges are sorted apart, and only their sizes pass the driver."""
+    from pyspark.sql import Window
+
+    ranged = documents.repartitionByRange(by).sortWithinPartitions(by).withColumn("_part", F.spark_partition_id()).persist()
+    sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    before, rows = 0, []
+    for part, n in sizes:
+        rows.append((part, before))
+        before += n
+    starts = F.broadcast(documents.sparkSession.createDataFrame(rows or [(0, 0)], "_part int, _before long"))  # a row for each partition
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1
+    return ranged.withColumn("_place", place).join(starts, "_part").withColumn("ordinal", F.col("_before") + F.col("_place")).drop("_part", "_before", "_place")

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from brindle.operators.chunking import chunk_documents
+from brindle.sources.files import exists
 
 
 def document_stream(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
@@ -24,11 +25,19 @@ def stream_chunks(documents: DataFrame, size: int = 250, overlap: int = 50) -> D
 
 
 def append_chunks(chunks: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append each batch's chunks to a Parquet table, once each: a batch that is tried again doesn't add a chunk twice."""
+    """Append each batch's chunks to a Parquet table, once each by (doc_id, chunk_index), whichever batch they came in first.
+
+    A batch that is tried again replaces what it wrote before. Of the table only the two key columns are read.
+    """
+    keys = ["doc_id", "chunk_index"]
 
     def write(batch: DataFrame, epoch: int) -> None:
-        own = batch.dropDuplicates(["doc_id", "chunk_index"]).withColumn("epoch", F.lit(epoch))
-        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(target)
+        spark = batch.sparkSession
+        own = batch.dropDuplicates(keys)
+        if exists(spark, target):
+            held = spark.read.parquet(target).where(F.col("epoch") != epoch).select(*keys)
+            own = own.join(held, keys, "left_anti")
+        own.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(target)
 
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +142,11 @@ def test_stream(spark, tmp_path):
     s = ingest.stream_chunks(ingest.document_stream(spark, str(tmp_path / "in"), docs.schema))
     ingest.append_chunks(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    docs.unionByName(docs.withColumn("doc_id", F.lit(2).cast("long"))).write.mode("append").parquet(str(tmp_path / "in"))  # a known document comes again
+    s = ingest.stream_chunks(ingest.document_stream(spark, str(tmp_path / "in"), docs.schema))
+    ingest.append_chunks(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 4 == out.select("doc_id", "chunk_index").distinct().count()
 
 
 def test_entry_without_llm():
@@ -158,3 +165,110 @@ def test_hybrid_loop_reranks_before_the_gate(spark, tmp_path):
     got = {r.query_id: (r.decision, r.retries) for r in catalog.QUERIES["q35_hybrid_loop"](spark, str(tmp_path)).collect()}
     assert got == {1: ("pass", 0), 2: ("refuse", 0)}
     assert {r.chunk_no for r in catalog.QUERIES["q33_hybrid_rerank"](spark, str(tmp_path)).where("query_id = 1 and rank = 1").collect()} == {1}
+
+
+# -- stored indexes, providers, models -------------------------------------------------------------------
+
+
+def test_ingest_and_retrieve(spark, tmp_path):
+    from brindle.__main__ import main
+    from brindle.operators.index import Index
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.md").write_text("The red fox runs over the frozen lake. " * 3)
+    (tmp_path / "in" / "a.txt").write_text("A lazy dog sleeps beside the warm oven. " * 3)
+    assert main(["ingest", str(tmp_path / "in"), str(tmp_path / "index")]) == 0
+    assert main(["ingest", str(tmp_path / "in"), str(tmp_path / "index")]) == 0
+    index = Index(spark, str(tmp_path / "index"))
+    assert index.count("chunks") == 2 and not index.is_empty() and index.table("chunks").where("chunk_no = 0").first().filename == "a.txt"
+    q = spark.createDataFrame([(1, "red fox"), (2, "")], "query_id long, query string")
+    hits = index.retrieve(q).where("query_id = 1").orderBy("rank").collect()
+    assert hits[0].filename == "b.md" and hits[0].text.startswith("The red fox") and "graph" in hits[0].found_in
+    assert {r.query_id for r in index.retrieve(q).collect()} == {1}
+    assert main(["query", str(tmp_path / "index"), "red fox"]) == 0 and main(["compare", str(tmp_path / "index"), "red fox"]) == 0
+
+
+def test_index_without_a_readable_graph(spark, tmp_path):
+    from brindle.operators.index import Index, build_indexes
+
+    build_indexes(spark.createDataFrame([(1, "red fox runs"), (2, "lazy dog"), (3, None), (4, "some more words"), (5, "and others")], "chunk_no long, text string"), str(tmp_path))
+    q = spark.createDataFrame([(1, "red fox")], "query_id long, query string")
+    assert "graph" in Index(spark, str(tmp_path)).hybrid(q).first().found_in
+    for f in (tmp_path / "edges").glob("*.parquet"):
+        f.write_bytes(b"no parquet")
+    for f in (tmp_path / "edges").glob(".*.crc"):
+        f.unlink()
+    assert Index(spark, str(tmp_path)).hybrid(q).first().found_in == "vector,bm25"
+    import shutil
+
+    shutil.rmtree(tmp_path / "terms")
+    with pytest.raises(FileNotFoundError):
+        Index(spark, str(tmp_path)).bm25(q)
+
+
+def test_knn_in_tiles_equals_one_scan(spark, monkeypatch):
+    rng = random.Random(4)
+    v = spark.createDataFrame([(i, [round(rng.gauss(0, 1), 1) for _ in range(4)]) for i in range(300)], "chunk_no long, v array<double>")
+    q = v.where("chunk_no < 40").select(F.col("chunk_no").alias("query_id"), "v")
+    want = {tuple(r) for r in R.knn(v.repartition(3), q, 5, 4).select("query_id", "chunk_no", "rank").collect()}
+    monkeypatch.setattr(R, "BLOCK", 16)
+    monkeypatch.setattr(R, "TILE", 70)
+    assert {tuple(r) for r in R.knn(v, q, 5, 4).select("query_id", "chunk_no", "rank").collect()} == want and len(want) == 200
+
+
+def test_byte_pair_windows(spark):
+    from brindle.operators.providers import BytePairs
+
+    text = "naïve words and 東京 make tokens " * 40
+    docs = spark.createDataFrame([(1, "f.md", text), (2, "f.md", None), (3, "f.md", " ")], "doc_id long, filename string, text string")
+    got = chunking.chunk_documents(docs, 50, 10, tokenizer=BytePairs()).orderBy("chunk_index").collect()
+    assert {r.doc_id for r in got} == {1} and len(got) > 4 and all(r.text in text for r in got) and got[0].total_chunks == len(got)
+
+
+def test_phrases(spark):
+    from brindle.operators.providers import Phrases
+
+    rows = spark.createDataFrame([("The old red fox of the north is tired. A lazy dog",)], "t string").select(Phrases().signals(F.col("t")).alias("s")).first().s
+    assert {r.sid for r in rows if r.sid.startswith("np_")} == {"np_old red fox", "np_old red", "np_red fox", "np_lazy dog"}
+
+
+def test_models(spark):
+    from brindle.operators import models, prompts
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def shaky(texts):
+        calls.add(1)
+        raise RuntimeError("busy")
+
+    q = spark.createDataFrame([(1, "red fox"), (2, "dog")], "query_id long, query string").coalesce(1)
+    out = models.ask(q, F.col("query"), shaky, tries=2, pause=0.01).collect()
+    assert calls.value == 2 and all(r.reply is None and "busy" in r.reply_error for r in out)
+    assert [r.query for r in models.hypothetical(q, models.echo).orderBy("query_id").collect()] == ["This passage is about red fox", "This passage is about dog"]
+    assert [r.question for r in models.decomposed(q.limit(1), lambda ts: ['["a", "b"]'] * len(ts)).collect()] == ["a", "b"]
+    assert models.routed(q.limit(1), lambda ts: ["Complex."] * len(ts)).first().route == "complex"
+    assert models.reformulated(q.limit(1), lambda ts: [" "] * len(ts)).first().query == "red fox"
+    hits = spark.createDataFrame([(1, "q", 1, "a_chunk_00002", "one two"), (1, "q", 2, "a_chunk_00005", "x")], "query_id long, query string, rank int, chunk_id string, text string")
+    r = models.grounded(hits, lambda ts: ["It is so [C5]. And so [C2][C9][C5]."] * len(ts)).first()
+    assert r.cited == ["a_chunk_00005", "a_chunk_00002"] and not r.insufficient
+    assert models.grounded(hits, lambda ts: ["INSUFFICIENT_CONTEXT [C2]"] * len(ts)).first().cited == []
+    judged = models.judged(spark.createDataFrame([(1, "c", "Good. Bad one.")], "query_id long, context string, answer string"), lambda ts: ['{"verdict": "partial", "unsupported_sentences": ["Bad one."]}'])
+    assert judged.first().answer == "Good."
+    with pytest.raises(KeyError):
+        prompts.fill("{missing}", query=F.lit(1))
+    assert values(spark, prompts.fill("{{{t}}} {t}", t=F.col("t")), ("x",), (None,)) == ["{x} x", "{} "]
+
+
+def test_hot_key_join(spark):
+    from brindle.plans.physical import join_facts
+
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    out = join_facts(rows, rows.groupBy("k").agg(F.count("*").alias("n")), "k")
+    assert out.count() == 1000 and out.where("k = 'hot'").agg(F.min("n"), F.max("n")).first() == (900, 900)
+
+
+def test_file_order(spark):
+    docs = spark.createDataFrame([(f"/{i % 7}/{i}.txt",) for i in range(100)], "path string").repartition(5)
+    got = files.in_order(docs).collect()
+    assert [r.path for r in sorted(got, key=lambda r: r.ordinal)] == sorted(r.path for r in got) and sorted(r.ordinal for r in got) == list(range(100))
+    assert files.in_order(docs.where("false")).count() == 0
