@@ -11,6 +11,7 @@ from brindle.operators import chunking, retrieval as R
 from brindle.operators.providers import DEFAULTS, Providers
 from brindle.sources import files
 
+VERSION = 1  # of the tables' contents: to be raised when what is written changes
 CHUNK = "chunk_no long, chunk_id string, text string, source string, filename string, doc_type string, chunk_index int, total_chunks int"
 SCHEMAS = {
     "chunks": CHUNK,
@@ -44,7 +45,7 @@ def build_indexes(chunks: DataFrame, folder: str, force: bool = False, providers
     each kind of index. Postings and edges are sorted by term and signal, so a search for a few reads few row groups.
     """
     spark = chunks.sparkSession
-    if not force and all(files.exists(spark, f"{folder}/{name}") for name in SCHEMAS):
+    if not force and all(files.complete(spark, f"{folder}/{name}") for name in SCHEMAS):
         return False
 
     def write(name: str, df: DataFrame) -> DataFrame:

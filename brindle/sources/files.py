@@ -59,7 +59,7 @@ def read_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 def write_index(tables: dict[str, DataFrame], folder: str, force: bool = False) -> bool:
     """Write index tables as Parquet. Skipped (False) where all exist already, unless forced."""
     spark = next(iter(tables.values())).sparkSession
-    if not force and all(exists(spark, f"{folder}/{name}") for name in tables):
+    if not force and all(complete(spark, f"{folder}/{name}") for name in tables):
         return False
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
@@ -71,6 +71,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
 def read_index(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
     """An index table; with ``schema``, an empty table where it is missing or its first row can't be read, else an error."""
     try:
