@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -36,15 +37,21 @@ class Tokenizer(Protocol):
         """``df`` with ``parts`` ARRAY<STRING>: the text's windows of ``size`` tokens, each ``overlap`` into the last."""
 
 
-def array_kernel(df: DataFrame, name: str, make, schema: str) -> DataFrame:
-    """Replace the array column ``name`` (the last) by what ``make(flat values, ends)`` gives for each Arrow batch."""
+MEMO = 500_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield make(b)
 
-    return df.mapInArrow(run, schema)
+class _Buckets(dict):
+    """Word -> the first 32 bits of its MD5, modulo the number of buckets; emptied when full."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > MEMO:
+            self.clear()
+        self[word] = b = int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:4], "big") % self.dim
+        return b
 
 
 @dataclass(frozen=True)
@@ -54,19 +61,21 @@ class HashedWords:
     dim: int = 64
 
     def vectors(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        bucket = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(self.dim)).cast("int")
-        b = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.transform(tokens(F.col(text)), bucket).alias("b")).where(F.size("b") > 0)
+        t = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
         dim, kind = self.dim, df.schema[key].dataType.simpleString()
 
-        def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lists = batch.column(1)
-            n = len(lists)
-            rows = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
-            x = np.bincount(rows * dim + lists.flatten().to_numpy(zero_copy_only=False), minlength=n * dim).reshape(n, dim).astype(np.float64)
-            x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim), pa.int32()), pa.array(x.reshape(-1)))], ["k", "v"])
-
-        return array_kernel(b, "b", make, f"k {kind}, v array<double>").withColumnRenamed("k", key)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bucket = _Buckets(dim).__getitem__
+            for b in batches:
+                if n := b.num_rows:
+                    lists = b.column(1)
+                    words_ = lists.flatten().to_pylist()
+                    rows = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+                    x = np.bincount(rows * dim + np.fromiter(map(bucket, words_), np.int64, len(words_)), minlength=n * dim).reshape(n, dim).astype(np.float64)
+                    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim), pa.int32()), pa.array(x.reshape(-1)))], ["k", "v"])
+
+        return t.mapInArrow(run, f"k {kind}, v array<double>").withColumnRenamed("k", key)
 
 
 @dataclass(frozen=True)
