@@ -10,6 +10,7 @@ from brindle.operators import answers as A
 from brindle.operators import chunking, retrieval as R
 from brindle.operators import models, prompts
 from brindle.operators.index import SCHEMAS, VERSION, Index, build_indexes
+from brindle.plans import pipeline
 from brindle.plans.physical import cut_lineage, shared_folder, spread, table
 from brindle.sources import files
 
@@ -357,6 +358,12 @@ def q45_grounded_answers(spark, d):
     return answers.select("query_id", F.md5("answer").alias("answer_md5"), F.array_join("cited", ",").alias("cited"), "insufficient")
 
 
+def q46_answers(spark, d):
+    """The whole way from questions to checked answers, with the stand-in for the model. No SQL: see its test."""
+    out = pipeline.answer_queries(_index(spark, d), _asked(spark, d), models.stand_in, TOP, FETCH)
+    return out.select("query_id", "route", "retries", F.md5("answer").alias("answer_md5"), F.array_join("citations", ",").alias("citations"), "confidence")
+
+
 QUERIES = {n: f for n, f in sorted(globals().items()) if n[:1] == "q" and n[1:3].isdigit()}
 
 # -- SQL -----------------------------------------------------------------------------------------------

@@ -152,7 +152,7 @@ def test_stream(spark, tmp_path):
 def test_entry_without_llm():
     import __spark_entry__ as e
 
-    assert {n for n in e.queries() if n.startswith("q")} == {n for n in e.oracle_sql() if n.startswith("q")}
+    assert {n for n in e.queries() if n.startswith("q")} == {n for n in e.oracle_sql() if n.startswith("q")} | {"q46_answers"}
 
 
 def test_hybrid_loop_reranks_before_the_gate(spark, tmp_path):
@@ -272,3 +272,32 @@ def test_file_order(spark):
     got = files.in_order(docs).collect()
     assert [r.path for r in sorted(got, key=lambda r: r.ordinal)] == sorted(r.path for r in got) and sorted(r.ordinal for r in got) == list(range(100))
     assert files.in_order(docs.where("false")).count() == 0
+
+
+def test_answers(spark, tmp_path):
+    from brindle.operators import models
+    from brindle.operators.index import Index, build_indexes
+    from brindle.plans import pipeline
+
+    texts = ["the red fox runs over the frozen lake in winter", "lazy dogs sleep beside the warm oven at night", "a bird flew south", "bread needs flour", "rivers run to the sea", "stones are heavy"]
+    build_indexes(spark.createDataFrame([(i, f"f{i}_chunk_{i:05d}", t) for i, t in enumerate(texts)], "chunk_no long, chunk_id string, text string"), str(tmp_path))
+    asked = [(1, "red fox runs"), (2, "hello"), (3, "frozen lake winter and warm oven night"), (4, "quantum banana theory"), (5, "red fox runs xylophone zeppelin")]
+    q = spark.createDataFrame(asked, "query_id long, query string")
+    got = {r.query_id: r for r in pipeline.answer_queries(Index(spark, str(tmp_path)), q, models.stand_in).collect()}
+    assert {i: r.route for i, r in got.items()} == {1: "simple", 2: "direct", 3: "complex", 4: "simple", 5: "simple"}
+    assert got[1].citations == ["f0_chunk_00000"] and got[1].confidence == "pass" and got[1].answer.startswith("the red fox")
+    assert got[3].confidence == "pass" and len(got[3].citations) == 1
+    assert got[4].answer == pipeline.REFUSED and got[4].citations == [] and got[4].confidence == "refused"
+    assert got[5].retries == 0 and got[2].citations == []
+    def strict(texts):
+        return ['{"verdict": "fail"}' if t.startswith("Which sentences") else models.stand_in([t])[0] for t in texts]
+
+    assert {r.confidence for r in pipeline.answer_queries(Index(spark, str(tmp_path)), q.where("query_id = 1"), strict).collect()} == {"refused"}
+
+
+def test_state_merge(spark):
+    from brindle.plans.pipeline import merge
+
+    state = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "query_id long, x string, y int")
+    out = merge(state, spark.createDataFrame([(2, None, "new")], "query_id long, x string, z string")).orderBy("query_id").collect()
+    assert [tuple(r) for r in out] == [(1, "a", 1, None), (2, None, 2, "new")]
