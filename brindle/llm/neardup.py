@@ -21,6 +21,8 @@ from brindle.plans.physical import cut_lineage, join_facts
 
 COUNT_BITS = 22
 SHARED = 4
+HOT = 512  # occurrences from which a shingle is joined by bands of lengths
+BAND = math.log(1.1)
 WORD_MEMO = 500_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -85,6 +87,14 @@ def _prefix(size: int, t: float) -> int:
     return min(size, size - math.ceil(t * size - 1e-9) + SHARED)
 
 
+def _band(size: int) -> int:
+    return int(math.log(size) / BAND + 1e-9)
+
+
+def _banded(keys: np.ndarray, band: int) -> np.ndarray:
+    return _mixed(keys, 1) ^ _mixed(np.full(len(keys), band + 1, np.uint64), 1)
+
+
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
     """Upper bound of the overlap of two sorted arrays: split both at the middle of x, and again, adding what the sizes allow."""
     if not depth or not len(x) or not len(y):
@@ -123,7 +133,11 @@ def similar_texts(df: DataFrame, key: str, text: str = "text", words: int = 5, t
     each set, by 128-bit hash; (3) prefix tokens of representatives, self-joined on the token with length
     and positional filters; prefixes are 3 tokens longer than one common token needs, so a pair must have
     4 in common there (all it needs, where that is fewer); (4) the pairs left, once each, joined with the
-    sets of the records that occur in any of them, suffix filter, exact overlap. Hot prefix tokens are split by AQE's skew join.
+    sets of the records that occur in any of them, suffix filter, exact overlap.
+
+    A token that HOT records or more have is joined by bands of lengths: the longer record of a pair looks only into
+    the bands that its length and the token's place in it leave. Of records that share but a common
+    part, each has it at the end of its order, and so none of them meet.
     """
     texts = df.select(df[key].cast("long").alias("id"), df[text].alias("text")).where("id is not null and text is not null")
     sc = df.sparkSession.sparkContext
@@ -149,30 +163,46 @@ def similar_texts(df: DataFrame, key: str, text: str = "text", words: int = 5, t
 
         return kernel
 
+    hot_from = np.uint64(rarity(np.array([HOT]))[0])
+
     def prefixes(batch: pa.RecordBatch, cleared: bool) -> pa.RecordBatch | None:
         if cleared:
             batch = in_filter(False, maybe)(batch)
         ids = column(batch, "id").to_numpy(zero_copy_only=False)
-        keys, own, places, sizes = [], [], [], []
+        keys, own, at = [], [], []
+
+        def add(k: np.ndarray, i: int, place: np.ndarray, role: int, size: int) -> None:
+            keys.append(k), own.append(np.full(len(k), i, np.int64)), at.append((place << 32) | (role << 30) | size)
+
         for row, s in _sets(strings(batch, "text"), order.value, n, least_words):
-            p = _prefix(len(s), t)
-            keys.append(s[:p]), own.append(np.full(p, ids[row], np.int64)), places.append(np.arange(p)), sizes.append(np.full(p, len(s)))
+            size, p = len(s), _prefix(len(s), t)
+            common = p - int(np.searchsorted(s[:p] >> np.uint64(56), hot_from))  # the rare come first
+            i, rare = ids[row], p - common
+            add(s[:rare], i, np.arange(rare), 0, size)
+            if common:
+                place = np.arange(rare, p)
+                longest = np.minimum(size, np.floor((size - place + SHARED - 1 + 1e-6) * (1 + t) / t - size)).astype(np.int64)
+                add(_banded(s[rare:p], _band(size)), i, place, 1, size)
+                for band in range(_band(max(1, math.ceil(t * size - 1e-6))), _band(size) + 1):
+                    fits = longest >= math.floor(math.exp(band * BAND))
+                    add(_banded(s[rare:p][fits], band), i, place[fits], 2, size)
         if not keys:
             return None
-        at = (np.concatenate(places) << 32) | np.concatenate(sizes)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(own)), pa.array(at.astype(np.int64))], ["token", "id", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(own)), pa.array(np.concatenate(at).astype(np.int64))], ["token", "id", "at"])
 
     schema = "token long, id long, at long"
     unsure = map_batches(texts, in_filter(True, maybe), "id long, text string").join(copies, "id", "left_anti")
     tokens = map_batches(texts, lambda b: prefixes(b, True), schema).unionByName(map_batches(unsure, lambda b: prefixes(b, False), schema))
 
     a, b = tokens.alias("a"), tokens.alias("b")
-    la, lb = F.expr("a.at & 4294967295"), F.expr("b.at & 4294967295")
+    la, lb = F.expr("a.at & 1073741823"), F.expr("b.at & 1073741823")
+    ra, rb = F.expr("shiftright(a.at, 30) & 3"), F.expr("shiftright(b.at, 30) & 3")
     pa_, pb = F.expr("shiftright(a.at, 32)"), F.expr("shiftright(b.at, 32)")
     need = F.ceil((la + lb) * (t / (1 + t)) - 1e-6)
     shared = F.least(need, F.lit(SHARED))
-    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.least(la, lb) >= F.greatest(la, lb) * t - 1e-6) & (F.least(la - pa_, lb - pb) > need - shared)
-    pairs = a.join(b, near).select(F.col("a.id").alias("rep_a"), F.col("b.id").alias("rep_b"), (1 / shared).alias("part"))
+    met = ((ra == 0) & (rb == 0) & (F.col("a.id") < F.col("b.id"))) | ((ra == 2) & (rb == 1) & ((la > lb) | ((la == lb) & (F.col("a.id") > F.col("b.id")))))
+    near = (F.col("a.token") == F.col("b.token")) & met & (F.least(la, lb) >= F.greatest(la, lb) * t - 1e-6) & (F.least(la - pa_, lb - pb) > need - shared)
+    pairs = a.join(b, near).select(F.least("a.id", "b.id").alias("rep_a"), F.greatest("a.id", "b.id").alias("rep_b"), (1 / shared).alias("part"))
     pairs = pairs.groupBy("rep_a", "rep_b").agg(F.sum("part").alias("parts")).where("parts >= 0.999999")
     pairs = cut_lineage(pairs.select("rep_a", "rep_b"))
 

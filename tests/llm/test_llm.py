@@ -131,8 +131,9 @@ def jaccard(a, b, n):
     return len(s & t) / len(s | t)
 
 
-@pytest.mark.parametrize("n, threshold", [(3, 0.5), (5, 0.8)])
-def test_similar_texts_against_brute_force(spark, n, threshold):
+@pytest.mark.parametrize("n, threshold, hot", [(3, 0.5, 512), (5, 0.8, 512), (3, 0.5, 2), (5, 0.8, 1)])
+def test_similar_texts_against_brute_force(spark, monkeypatch, n, threshold, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)  # as it is, and so low that all tokens are joined by bands
     rnd = random.Random(2)
     rows = []
     for g in range(12):
@@ -189,6 +190,14 @@ def test_large_group_of_copies(spark):
     assert neardup.unfold(links, members).count() == 9_000 * 8_999 // 2
 
 
+def test_common_part_of_many_records(spark):
+    words = lambda i, n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.hex(F.col("id") * 100 + k)), " ")
+    head = " ".join(f"w{k}" for k in range(20))
+    rows = spark.range(12_000).select("id", F.concat(F.lit(head + " "), words(F.col("id"), 32)).alias("text"))
+    links, members = neardup.similar_texts(rows, "id", words=3, threshold=0.5)
+    assert links.count() == 0 and members.count() == 12_000
+
+
 def test_names_beyond_the_basic_plane(spark):
     rows = [(1, "𝔞" * 20), (2, "𝔞" * 17 + "xyz"), (3, "𝔞" * 16 + "wxyz")]
     got = {tuple(r) for r in neardup.unfold(*neardup.similar_strings(frame(spark, rows, "id long, name string"), "id", "name")).collect()}
