@@ -265,6 +265,11 @@ def similar_strings(df: DataFrame, key: str, value: str, threshold: float = 0.85
 
     order = sc.broadcast(rarity(hashed_counts(names, all_hashes, 18)))
 
+    hot_from = int(rarity(np.array([HOT]))[0])
+
+    def placed(gram: int, size: int, place: int) -> int:
+        return (gram * 0x9E3779B97F4A7C15 + size * 0xC2B2AE3D27D4EB4F + place * 0x165667B19E3779F9) & 0xFFFFFFFFFFFFFFFF
+
     def rows(batch: pa.RecordBatch, chunks: bool) -> pa.RecordBatch:
         ids = column(batch, "id").to_pylist()
         token, own, at, mark = [], [], [], []
@@ -278,10 +283,18 @@ def similar_strings(df: DataFrame, key: str, value: str, threshold: float = 0.85
             bits = 0
             for pair in {s[k : k + 2] for k in range(n - 1)}:
                 bits |= 1 << (_words[pair] & 63)
-            token += [g[p] for p in places]
-            at += [p << 32 | n for p in places]
-            own += [i] * len(places)
-            mark += [bits] * len(places)
+            keys = []
+            for p in places:
+                if rare[g[p] & (len(rare) - 1)] < hot_from:
+                    keys.append((g[p], p))
+                elif chunks:  # a gram of many names meets only those of a length and at a place that the edits allow
+                    keys += [(placed(g[p], n - less, p + by), p) for less in range(edits + 1) for by in range(-edits, edits + 1) if abs(by) + abs(less + by) <= edits]
+                else:
+                    keys.append((placed(g[p], n, p), p))
+            token += [k for k, _ in keys]
+            at += [p << 32 | n for _, p in keys]
+            own += [i] * len(keys)
+            mark += [bits] * len(keys)
         return pa.RecordBatch.from_arrays([pa.array(np.array(token, np.uint64).view(np.int64)), pa.array(own, pa.int64()), pa.array(at, pa.int64()), pa.array(np.array(mark, np.uint64).view(np.int64))], ["token", "id", "at", "mark"])
 
     schema = "token long, id long, at long, mark long"

@@ -163,7 +163,9 @@ def edit(a, b):
     return row[-1]
 
 
-def test_similar_strings_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [512, 1])
+def test_similar_strings_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
     rnd = random.Random(3)
     rows = []
     for g in range(25):
