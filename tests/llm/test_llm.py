@@ -211,6 +211,17 @@ def test_no_texts(spark):
     assert links.count() == 0 and members.count() == 0
 
 
+def test_sketches_in_rounds(spark):
+    from brindle.llm import sketches
+
+    ids = spark.range(0, 3000, 3, 150)  # more tasks than are added up at a time
+    counts = sketches.hashed_counts(ids.unionByName(ids), lambda b: b.column(0).to_numpy().astype(np.uint64), 12)
+    assert counts.sum() == 2000 and counts[3] == 2 and counts[4] == 0
+    f = sketches.IdFilter.of(ids, 1000)
+    assert f.may_hold(np.arange(0, 3000, 3)).all() and f.may_hold(np.arange(10_000, 20_000)).mean() < 0.05
+    assert sketches.IdFilter.of(ids.where("false"), 0).may_hold(np.arange(100)).sum() == 0
+
+
 # -- 3: vectors --------------------------------------------------------------------------------------
 
 
