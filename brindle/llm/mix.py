@@ -42,7 +42,7 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = BYTE_BPE_50K
     plan = listed.join(sent(have), "source", "left").na.fill(0, ["source_tokens", "source_docs"])
     plan = plan.crossJoin(plan.agg(F.sum("source_tokens").alias("total_tokens")))  # one row
     rate = F.least(F.col("max_repeats").cast("double"), F.try_divide(F.col("target_share") * F.col("total_tokens"), F.col("source_tokens")))
-    plan = plan.withColumn("rate", F.greatest(F.lit(0.0), F.coalesce(rate, F.lit(0.0))))
+    plan = plan.withColumn("rate", F.when(F.col("source_tokens") > 0, F.greatest(F.lit(0.0), F.coalesce(rate, F.lit(0.0)))).otherwise(0.0))
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     picked = sized.where("n_tokens > 0").join(sent(plan.select("source", "rate")), "source")
     picked = picked.withColumn("copies", F.floor("rate").cast("int") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0))

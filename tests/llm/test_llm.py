@@ -47,7 +47,7 @@ def test_mix(spark):
     mixture, report = mix.mix(docs, targets)
     r = {x.source: x for x in report.collect()}
     assert r["small"].rate == 2.0 and r["small"].mixed_docs == 200  # 3.0 wanted, capped
-    assert abs(r["big"].share_of_target_total - 0.5) < 0.06 and r["none"].mixed_tokens == 0
+    assert abs(r["big"].share_of_target_total - 0.5) < 0.06 and r["none"].mixed_tokens == 0 == r["none"].rate
     assert abs(sum(x.actual_share for x in r.values()) - 1) < 1e-9
     assert mixture.groupBy("doc_id").count().agg(F.max("count")).first()[0] == 2
     assert "SortMergeJoin" not in mixture._jdf.queryExecution().executedPlan().toString()
