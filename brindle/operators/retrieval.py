@@ -202,8 +202,6 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
     return top(met, "score", k, "rank")
 
 
-BUCKETS = 64
-
 
 def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
     near = knn(vectors, queries, k, dim)

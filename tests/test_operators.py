@@ -149,6 +149,17 @@ def test_stream(spark, tmp_path):
     assert out.count() == 4 == out.select("doc_id", "chunk_index").distinct().count()
 
 
+def test_late_hits_are_counted_by_their_day(spark, tmp_path):
+    from brindle.streaming import ingest
+
+    rows = [(1, "2024-01-01 10:00:00"), (2, "2024-01-01 23:00:00"), (1, "2024-01-02 01:00:00")]
+    hits = spark.createDataFrame(rows, "run_id long, hit_at string").withColumn("hit_at", F.col("hit_at").cast("timestamp"))
+    hits.write.parquet(str(tmp_path / "hits"))
+    stream = ingest.hits_per_window(spark.readStream.schema(hits.schema).parquet(str(tmp_path / "hits")))
+    stream.writeStream.format("memory").queryName("days").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((str(r.day)[:10], r.hits, r.runs) for r in spark.table("days").collect()) == [("2024-01-01", 2, 2), ("2024-01-02", 1, 1)]
+
+
 def test_entry_without_llm():
     import __spark_entry__ as e
 
