@@ -23,7 +23,6 @@ FAR, EMPTY = 3.5, 1e-4  # robust z-score of a tail; share of a group's texts tha
 BINS = 512
 TERMINAL = set(".!?。！？।؟…")
 ENDING = TERMINAL | set("\"'”’»)]」』:;,")
-_CLOSE = "\"'”’»)]」』 "
 UNSPACED = {"han", "kana", "thai", "lao", "khmer", "myanmar", "tibetan", "bopomofo", "yi"}
 
 _L, _M, _N, _S, _W = 1, 2, 3, 4, 0
