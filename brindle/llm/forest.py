@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from brindle.functions.arrow import column, map_batches
 from brindle.llm.neardup import fold_equal
 from brindle.llm.sketches import FAN, IdFilter
-from brindle.plans.physical import join_facts
+from brindle.plans.physical import cut_lineage, join_facts
 
 DIM, SEED, TREES = 384, 7, 2
 FEW = 1 << 20  # ids of copies that may be sent to every task
@@ -382,21 +382,35 @@ def _best(i: np.ndarray, x: np.ndarray, ids: np.ndarray, raw: np.ndarray, unit:
     return pa.RecordBatch.from_arrays([pa.array(i[q[keep]]), pa.array(ids[b[keep]]), pa.array(cosine[keep])], ["rep", "other", "cosine"])
 
 
-def nearest(links: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
-    """(id, neighbour, cosine, rank): each vector's k most similar others among the links, ties by id.
+def nearest_lists(links: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
+    """(id, near ARRAY<STRUCT<neighbour, cosine>>): each vector's k most similar others among the links, best first, ties by id.
 
     Of the members of one record only the k + 1 with the lowest ids can be among anyone's k, so a large
-    group of copies is not unfolded into all its pairs.
+    group of copies is not unfolded into all its pairs. Links are shuffled once, by record; copies join
+    where they lie if they are few.
     """
-    few = members.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("place") <= k + 1)
-    # a vector's own record, where it has other members, and at most k of the others: those alone hold k members already
-    own = members.where("rep != id").select("rep").distinct().select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("cosine"))
+    extra = members.where("rep != id")
+    some = extra.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("place") <= k)
+    some = cut_lineage(some.groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("copies")))  # k at most each
+    few = some.count() <= FEW // 16
+    sent = F.broadcast if few else lambda df: df
+    # a record that has copies is its own neighbour, so to say
+    own = some.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("cosine"))
     best = Window.partitionBy("rep").orderBy(F.desc("cosine"), "other")
-    once = links.withColumn("same", F.lag("other").over(best)).where("same is null or same != other").drop("same")  # trees may repeat a link
-    ranked = once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
-    near = ranked.unionByName(own).join(few.select(F.col("rep").alias("other"), F.col("id").alias("neighbour")), "other")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "neighbour"))).where(F.col("r") <= k + 1)
-    listed = near.groupBy("rep").agg(F.collect_list(F.struct("cosine", "neighbour")).alias("near"))  # k + 1 at most
-    each = join_facts(members, listed, "rep").select("id", F.explode("near").alias("n")).select("id", "n.neighbour", "n.cosine").where("id != neighbour")
-    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")))
-    return each.where(F.col("rank") <= k).select("id", "neighbour", "cosine", "rank")
+    once = links.unionByName(own).withColumn("same", F.lag("other").over(best)).where("same is null or same != other").drop("same")  # trees may repeat a link
+    ranked = once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+    near = ranked.join(sent(some.select(F.col("rep").alias("other"), "copies")), "other", "left")
+    ids = F.concat(F.array("other"), F.coalesce("copies", F.array().cast("array<bigint>")))
+    near = near.select("rep", "cosine", F.explode(ids).alias("neighbour"))
+    pair = F.struct((-F.col("cosine")).alias("far"), "neighbour", "cosine")
+    listed = near.groupBy("rep").agg(F.sort_array(F.collect_list(pair)).alias("near"))  # (k + 1) squared at most
+    listed = listed.select("rep", F.transform("near", lambda x: F.struct(x.neighbour, x.cosine)).alias("near"))
+    copied = sent(extra).join(listed, "rep") if few and extra.count() <= FEW // 4 else join_facts(extra, listed, "rep")
+    each = listed.withColumn("id", F.col("rep")).unionByName(copied.select("rep", "near", "id"))
+    return each.select("id", F.slice(F.filter("near", lambda x: x.neighbour != F.col("id")), 1, k).alias("near")).where(F.size("near") > 0)
+
+
+def nearest(links: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
+    """(id, neighbour, cosine, rank) of ``nearest_lists``."""
+    rows = nearest_lists(links, members, k).select("id", F.posexplode("near").alias("place", "x"))
+    return rows.select("id", "x.neighbour", "x.cosine", (F.col("place") + 1).alias("rank"))

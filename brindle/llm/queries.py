@@ -43,22 +43,24 @@ def p2_stats(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _near_vectors(spark: SparkSession, d: str, least: float | None) -> DataFrame:
+def _near_vectors(spark: SparkSession, d: str, least: float | None):
     vectors = spread(table(spark, d, "vector_store").select("vec_id", "embeddings"), "vec_id")
-    return forest.nearest(*forest.close_pairs(vectors, "vec_id", "embeddings", least=least))
+    return forest.close_pairs(vectors, "vec_id", "embeddings", least=least)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    near = _near_vectors(spark, d, 0.9)
+    near = forest.nearest(*_near_vectors(spark, d, 0.9))
     return near.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b")).distinct()
 
 
 def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar other vectors of every usable vector, however similar they are."""
     ids = table(spark, d, "vector_store").select("vec_id", "chunk_id")
-    near = _near_vectors(spark, d, None).join(ids.withColumnRenamed("vec_id", "id"), "id")
+    lists = forest.nearest_lists(*_near_vectors(spark, d, None)).join(ids, F.col("id") == F.col("vec_id"))
+    near = lists.select("vec_id", "chunk_id", F.posexplode("near").alias("place", "x"))
+    near = near.select("vec_id", "chunk_id", "x.neighbour", "x.cosine", (F.col("place") + 1).alias("rank"))
     near = near.join(ids.select(F.col("vec_id").alias("neighbour"), F.col("chunk_id").alias("neighbour_chunk_id")), "neighbour")
-    return near.select(F.col("id").alias("vec_id"), "chunk_id", "neighbour", "neighbour_chunk_id", "cosine", "rank")
+    return near.select("vec_id", "chunk_id", "neighbour", "neighbour_chunk_id", "cosine", "rank")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
