@@ -405,8 +405,11 @@ def nearest_lists(links: DataFrame, members: DataFrame, k: int = 10) -> DataFram
     pair = F.struct((-F.col("cosine")).alias("far"), "neighbour", "cosine")
     listed = near.groupBy("rep").agg(F.sort_array(F.collect_list(pair)).alias("near"))  # (k + 1) squared at most
     listed = listed.select("rep", F.transform("near", lambda x: F.struct(x.neighbour, x.cosine)).alias("near"))
-    copied = sent(extra).join(listed, "rep") if few and extra.count() <= FEW // 4 else join_facts(extra, listed, "rep")
-    each = listed.withColumn("id", F.col("rep")).unionByName(copied.select("rep", "near", "id"))
+    if few and extra.count() <= FEW // 4:  # all of them may be sent, so a group of them may be a list
+        copies = F.broadcast(extra.groupBy("rep").agg(F.collect_list("id").alias("ids")))
+        each = listed.join(copies, "rep", "left").select("near", F.explode(F.concat(F.array("rep"), F.coalesce("ids", F.array().cast("array<bigint>")))).alias("id"))
+    else:
+        each = join_facts(members, listed, "rep")
     return each.select("id", F.slice(F.filter("near", lambda x: x.neighbour != F.col("id")), 1, k).alias("near")).where(F.size("near") > 0)
 
 

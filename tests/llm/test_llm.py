@@ -225,7 +225,9 @@ def test_sketches_in_rounds(spark):
 # -- 3: vectors --------------------------------------------------------------------------------------
 
 
-def test_forest_against_brute_force(spark):
+@pytest.mark.parametrize("few", [forest.FEW, 0])
+def test_forest_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(forest, "FEW", few)  # copies sent to all tasks, and copies too many for that
     rng = np.random.default_rng(1)
     x = rng.standard_normal((300, 384)).astype(np.float32)
     for i in range(0, 200, 2):
