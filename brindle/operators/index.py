@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +54,18 @@ def build_indexes(chunks: DataFrame, folder: str, force: bool = False, providers
         return spark.read.parquet(f"{folder}/{name}")
 
     t = tables_of(chunks, providers)
-    for name in ("chunks", "vectors", "next"):
-        write(name, t[name])
-    corpus = write("corpus", t["corpus"])
-    write("terms", R.terms(write("postings", t["postings"].sortWithinPartitions("term")), corpus))
-    write("nodes", R.nodes(write("edges", t["edges"].sortWithinPartitions("sid"))))
+
+    def keywords() -> None:
+        posts, corpus = write("postings", t["postings"].sortWithinPartitions("term")), write("corpus", t["corpus"])
+        write("terms", R.terms(posts, corpus))
+
+    def graph() -> None:
+        write("nodes", R.nodes(write("edges", t["edges"].sortWithinPartitions("sid"))))
+
+    with ThreadPoolExecutor(4) as side:  # the kinds of index don't wait for one another
+        jobs = [side.submit(keywords), side.submit(graph), *(side.submit(write, name, t[name]) for name in ("vectors", "chunks", "next"))]
+        for j in jobs:
+            j.result()
     return True
 
 
