@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.arrow import column, map_batches, strings
-from brindle.plans.physical import cut_lineage
+from brindle.plans.physical import cut_lineage, spread
 
 TRAIN_PER_SCRIPT = 200  # texts of each script that the taggers are fitted on, at most
 BARE_TEXTS = 80  # of those, texts that the taggers for text without marks are fitted on
@@ -400,7 +400,7 @@ def count_places(text: str) -> dict[str, tuple[int, int]]:
 
 def corpus_counts(documents: DataFrame, text: str = "text") -> dict[str, tuple[int, int]]:
     """``count_places`` added up over all documents; words under a millionth of all places aren't kept."""
-    texts = documents.select(F.col(text).alias("t")).where(F.col("t").rlike(r"\n\s*\n"))
+    texts = spread(documents.select(F.col(text).alias("t")).where(F.col("t").rlike(r"\n\s*\n")), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, last = Counter(), Counter()
