@@ -53,10 +53,10 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner",
     """``rows`` with the columns of ``facts`` (one row a key), no task holding more than a ``salts``-th of a key's rows.
 
     The facts are first joined with the distinct (key, salt) of the rows, which are at most ``salts`` a key, and
-    then with the rows on both. Rows with a null key match nothing. ``rows`` should be cheap to read twice.
+    then with the rows on both. The salt is a hash of a row's other columns. Rows with a null key match nothing. ``rows`` should be cheap to read twice.
     """
     others = [F.col(c) for c in rows.columns if c != key]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others) if others else F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("_salt", (F.pmod(F.xxhash64(*others), F.lit(salts)) if others else F.lit(0)).cast("int"))
     spots = salted.select(key, "_salt").distinct().join(facts, key)
     return salted.join(spots, [key, "_salt"], how).drop("_salt")
 
