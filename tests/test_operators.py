@@ -312,3 +312,45 @@ def test_state_merge(spark):
     state = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "query_id long, x string, y int")
     out = merge(state, spark.createDataFrame([(2, None, "new")], "query_id long, x string, z string")).orderBy("query_id").collect()
     assert [tuple(r) for r in out] == [(1, "a", 1, None), (2, None, 2, "new")]
+
+
+def test_items_are_counted_in_the_jvm(spark):
+    rows = [(1, ["b", "a", "b", "b", ""]), (2, []), (3, None), (4, ["x"])]
+    out = R.count_in_rows(spark.createDataFrame(rows, "chunk_no long, t array<string>"), "chunk_no")
+    assert sorted(map(tuple, out.collect())) == [("", 1, 1, 5), ("a", 1, 1, 5), ("b", 1, 3, 5), ("x", 4, 1, 1)]
+    for df in (R.postings(corpus(spark)), R.contains_edges(corpus(spark))):  # a Python worker would hold the items of thousands of rows
+        assert "Arrow" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_the_tables_asked_for_are_built(spark, tmp_path):
+    from brindle.operators.index import SCHEMAS, Index, build_indexes
+
+    q = spark.createDataFrame([(1, "red fox runs"), (2, "lazy dog")], "query_id long, query string")
+    chunks = spark.createDataFrame([(1, "red fox runs"), (2, "lazy dog"), (3, None), (4, "red fox runs on"), (5, "and others")], "chunk_no long, text string")
+    index = Index(spark, str(tmp_path / "some"), chunks=chunks)
+    there = lambda: sorted(p.name for p in (tmp_path / "some").iterdir())
+    index.bm25(q).collect()
+    assert there() == ["corpus", "postings", "terms"]
+    got = sorted(map(tuple, index.graph(q).collect()))
+    assert there() == ["corpus", "edges", "postings", "terms"]
+    build_indexes(chunks, str(tmp_path / "all"))
+    whole = Index(spark, str(tmp_path / "all"))
+    assert got == sorted(map(tuple, whole.graph(q).collect())) and len(got) > 2
+    for name in SCHEMAS:
+        assert sorted(map(tuple, index.table(name).collect()), key=repr) == sorted(map(tuple, whole.table(name).collect()), key=repr)
+    assert there() == sorted(SCHEMAS)
+
+
+def test_best_of_many_vectors_met_in_parts(monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    q, x = rnd.normal(size=(7, 8)), rnd.normal(size=(1000, 8)).round(1)
+    held = []
+    monkeypatch.setattr(R, "SCORES", 700)
+    for most in (700, 10**9):
+        monkeypatch.setattr(R, "SCORES", most)
+        best = R._Best(np.arange(7), q, 5)
+        best.meet(np.arange(1000), x)
+        held.append((best.ids.tolist(), best.scores.round(9).tolist()))
+    assert held[0] == held[1]
