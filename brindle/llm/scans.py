@@ -100,25 +100,41 @@ def _whole_tokens(t: str) -> list[str]:
     return (_BROKEN.sub(" ", t) if "\n" in t and _LINE_HYPHEN.search(t) else t).split()
 
 
-def learn_confusions(pages: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """(read, meant) pairs of one or two letters from (noisy, proofread) texts, besides the fixed ones."""
-    seen: Counter = Counter()
-    for noisy, clean in pages:
-        a, b = noisy.split(), clean.split()
-        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            if tag == "replace" and i2 - i1 == j2 - j1:
-                for x, y in zip(a[i1:i2], b[j1:j2]):
-                    x, y = core(x).lower(), core(y).lower()
-                    k = 0
-                    while k < min(len(x), len(y)) and x[k] == y[k]:
-                        k += 1
-                    e = 0
-                    while e < min(len(x), len(y)) - k and x[-1 - e] == y[-1 - e]:
-                        e += 1
-                    read, meant = x[k : len(x) - e], y[k : len(y) - e]
-                    if 1 <= len(read) <= 2 and 1 <= len(meant) <= 2:
-                        seen[(read, meant)] += 1
-    return [p for p, n in seen.items() if n >= 2]
+def _differences(noisy: str, clean: str) -> Iterator[tuple[str, str]]:
+    """(read, meant): one or two letters for one or two, for each word that a noisy text has otherwise than its proofread one."""
+    a, b = noisy.split(), clean.split()
+    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if tag == "replace" and i2 - i1 == j2 - j1:
+            for x, y in zip(a[i1:i2], b[j1:j2]):
+                x, y = core(x).lower(), core(y).lower()
+                k = 0
+                while k < min(len(x), len(y)) and x[k] == y[k]:
+                    k += 1
+                e = 0
+                while e < min(len(x), len(y)) - k and x[-1 - e] == y[-1 - e]:
+                    e += 1
+                read, meant = x[k : len(x) - e], y[k : len(y) - e]
+                if 1 <= len(read) <= 2 and 1 <= len(meant) <= 2:
+                    yield read, meant
+
+
+def learn_confusions(pages: DataFrame) -> list[tuple[str, str]]:
+    """(read, meant) pairs of one or two letters met twice in all ``pages`` (text, clean_text), besides the fixed ones.
+
+    Compared and counted where the pages lie; only the pairs, which are letters and not texts, reach the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[tuple[str, str]] = Counter()
+        for batch in batches:
+            for noisy, clean in zip(strings(batch, "text"), strings(batch, "clean_text")):
+                seen.update(_differences(noisy, clean))
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in seen], pa.string()), pa.array([m for _, m in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["read", "meant", "n"])
+
+    both = pages.select("text", "clean_text").where("text is not null and clean_text is not null")
+    counts = both.mapInArrow(count, "read string, meant string, n long").groupBy("read", "meant").agg(F.sum("n").alias("n")).where("n >= 2")
+    return sorted((r.read, r.meant) for r in counts.toLocalIterator())
 
 
 class _Plain(dict):
@@ -614,11 +630,10 @@ def _reader_of(shared) -> Reader:
 
 
 def fit_reader(documents: DataFrame, proofread: DataFrame | None = None):
-    """Broadcast (lexicon, confusions): the lexicon from all documents, confusions from the proofread pages (at most 200 are used)."""
+    """Broadcast (lexicon, confusions): the lexicon from all documents, confusions from all proofread pages."""
     pairs: list[tuple[str, str]] = []
     if proofread is not None:
-        both = documents.select("doc_id", "text").join(proofread.select("doc_id", "clean_text"), "doc_id").where("text is not null and clean_text is not null")
-        pairs = learn_confusions([(r.text, r.clean_text) for r in both.orderBy("doc_id").limit(200).collect()])
+        pairs = learn_confusions(documents.select("doc_id", "text").join(proofread.select("doc_id", "clean_text"), "doc_id"))
     return documents.sparkSession.sparkContext.broadcast((lexicon(documents), pairs))
 
 

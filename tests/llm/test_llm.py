@@ -442,6 +442,13 @@ def test_scan_tables(spark):
     assert {r.doc_id: r.clean_text for r in scans.repair(docs, reader, "doc_id").collect()} == {1: ("the budget of the year " * 5).strip(), 2: None, 3: ""}
 
 
+def test_confusions_of_all_pages(spark):
+    docs = frame(spark, [(i, "the budget was ready") for i in range(210)] + [(i, f"the budqet of {i} was ready") for i in range(210, 213)] + [(300, None)], "doc_id long, text string")
+    pages = docs.selectExpr("doc_id", "replace(text, 'q', 'g') as clean_text")
+    assert ("q", "g") in scans.fit_reader(docs, pages).value[1]
+    assert scans.fit_reader(docs, pages.where("doc_id < 211")).value[1] == []  # once isn't enough
+
+
 # -- 8: sentences ------------------------------------------------------------------------------------
 
 CASES = [
