@@ -153,6 +153,23 @@ def test_similar_texts_against_brute_force(spark, monkeypatch, n, threshold, hot
     assert one[1001].class_id == 1 and one[1001].copies == 2
 
 
+def test_count_table_grows_with_the_texts(spark, monkeypatch):
+    assert [neardup.count_bits(n) for n in (0, 1, 400_000, 400_001, 1_600_000, 10**9)] == [22, 22, 22, 23, 24, 24]
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choices([f"w{i}" for i in range(400)], k=30)) for _ in range(60)]
+    df = frame(spark, [(i, t if i < 60 else t + " more") for i, t in enumerate(texts * 2)], "id long, text string")
+    monkeypatch.setattr(neardup, "COUNT_BITS", 10)
+    monkeypatch.setattr(neardup, "MOST_BITS", 13)
+    seen, counts = [], neardup.hashed_counts
+    monkeypatch.setattr(neardup, "hashed_counts", lambda *a: (seen.append(a[2]), counts(*a))[1])
+    found = []
+    for few in (400_000, 20):
+        monkeypatch.setattr(neardup, "FEW", few)
+        links = neardup.similar_texts(df, "id", words=3, threshold=0.5)[0]
+        found.append(sorted(map(tuple, links.collect())))
+    assert seen == [10, 13] and found[0] == found[1] == [(i, i + 60) for i in range(60)]
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
