@@ -131,6 +131,26 @@ def jaccard(a, b, n):
     return len(s & t) / len(s | t)
 
 
+def test_similar_texts_takes_few_rows_at_a_time(spark, monkeypatch):
+    """Words and shingles of a whole batch of 10,000 rows filled the workers."""
+    own = neardup.map_batches
+
+    def watched(df, kernel, *rest):
+        def run(batch):
+            if batch.num_rows > 1024:
+                raise ValueError("too many rows at a time")
+            return kernel(batch)
+
+        return own(df, run, *rest)
+
+    monkeypatch.setattr(neardup, "map_batches", watched)
+    rows = frame(spark, [(i, " ".join(f"w{i // 2}x{k}" for k in range(20 + i % 2))) for i in range(3000)]).coalesce(1)
+    links, members = neardup.similar_texts(rows, "id", words=3, threshold=0.5)
+    assert sorted(map(tuple, links.collect())) == [(i, i + 1) for i in range(0, 3000, 2)] and members.count() == 3000
+    names = neardup.similar_strings(rows.selectExpr("id", "concat('a name of number ', id * 1000003) as name"), "id", "name")[1]
+    assert names.count() == 3000
+
+
 @pytest.mark.parametrize("n, threshold, hot", [(3, 0.5, 512), (5, 0.8, 512), (3, 0.5, 2), (5, 0.8, 1)])
 def test_similar_texts_against_brute_force(spark, monkeypatch, n, threshold, hot):
     monkeypatch.setattr(neardup, "HOT", hot)  # as it is, and so low that all tokens are joined by bands
