@@ -354,3 +354,48 @@ def test_best_of_many_vectors_met_in_parts(monkeypatch):
         best.meet(np.arange(1000), x)
         held.append((best.ids.tolist(), best.scores.round(9).tolist()))
     assert held[0] == held[1]
+
+
+def test_graph_search_from_texts_stores_no_edges(spark, tmp_path):
+    from brindle.operators.index import Index, build_indexes
+
+    q = spark.createDataFrame([(1, "red fox runs on"), (2, "lazy dog"), (3, "")], "query_id long, query string")
+    more = spark.createDataFrame([(4, "red fox runs"), (5, "Big Ben and others")], "query_id long, query string")
+    chunks = spark.createDataFrame([(1, "red fox runs red fox runs"), (2, "12lazy dog"), (3, None), (4, "Red Fox runs on"), (5, "and others of Big Ben"), (6, "Red Fox, a red fox"), (7, "")], "chunk_no long, text string")
+    index = Index(spark, str(tmp_path / "some"), chunks=chunks, from_texts=True)
+    build_indexes(chunks, str(tmp_path / "all"))
+    whole = Index(spark, str(tmp_path / "all"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for asked, passes in ((q, 1), (q, 1), (q.where("query_id = 2"), 1), (more, 2)):  # the texts are read again only for new signals
+        assert rows(index.graph(asked)) == rows(whole.graph(asked)) and len(index.met) == passes
+    assert len(rows(index.graph(more))) > 2
+    assert not (tmp_path / "some").exists() and rows(R.graph_search(chunks, q)) == rows(whole.graph(q))
+    index.table("edges")
+    assert rows(index.graph(q)) == rows(whole.graph(q)) and len(index.met) == 2
+
+
+def test_edges_of_some_signals_equal_those_of_all(spark, monkeypatch):
+    from brindle.operators.providers import Phrases, Providers
+
+    texts = ["the red fox runs the red fox runs on", "12Big Ben of Big Ben", "a", "", None, "one two", "two  one two three", "NP_ x Ent_ y np_one two"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_no long, text string")
+    for providers in (Providers(), Providers(extractor=Phrases())):
+        every = R.contains_edges(chunks, providers).select("sid", "chunk_no")
+        sids = every.select("sid").distinct().where("hash(sid) % 2 = 0")
+        for most in (R.MARKS, 0):
+            monkeypatch.setattr(R, "MARKS", most)
+            got = sorted(map(tuple, R.edges_of(chunks, sids, providers).collect()))
+            assert got == sorted(map(tuple, every.join(sids, "sid").collect())) and got
+        monkeypatch.undo()
+    assert R.edges_of(chunks, every.select("sid").where("false")).count() == 0
+
+
+def test_registered_searches_store_no_edges(spark, tmp_path, monkeypatch):
+    from brindle.plans import catalog
+
+    monkeypatch.setattr(catalog, "shared_folder", lambda _: str(tmp_path / "shared"))
+    rows = [(i, f"f{i}", f"word{i % 3} common words of text {i}", "s", f"f{i}", "text", 0, 1, i) for i in range(30)]
+    spark.createDataFrame(rows, "chunk_no long, chunk_id string, text string, source string, filename string, doc_type string, chunk_index int, total_chunks int, doc_id long").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([(1, "common words of text 7"), (2, "word1 common")], "query_id long, query string").write.parquet(str(tmp_path / "query_catalog.parquet"))
+    assert catalog.QUERIES["q17_graph_only"](spark, str(tmp_path)).count() == 10 and catalog.QUERIES["q16_hybrid_retrieve"](spark, str(tmp_path)).count() == 10
+    assert not list((tmp_path / "shared").glob("*/edges"))
