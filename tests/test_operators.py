@@ -399,3 +399,16 @@ def test_registered_searches_store_no_edges(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, "common words of text 7"), (2, "word1 common")], "query_id long, query string").write.parquet(str(tmp_path / "query_catalog.parquet"))
     assert catalog.QUERIES["q17_graph_only"](spark, str(tmp_path)).count() == 10 and catalog.QUERIES["q16_hybrid_retrieve"](spark, str(tmp_path)).count() == 10
     assert not list((tmp_path / "shared").glob("*/edges"))
+
+
+def test_compare_flags_searches_once(spark, tmp_path, monkeypatch):
+    from brindle.plans import catalog
+
+    monkeypatch.setattr(catalog, "shared_folder", lambda _: str(tmp_path / "shared"))
+    rows = [(i, f"f{i}", f"word{i % 3} common words of text {i}", "s", f"f{i}", "text", 0, 1, i) for i in range(30)]
+    spark.createDataFrame(rows, "chunk_no long, chunk_id string, text string, source string, filename string, doc_type string, chunk_index int, total_chunks int, doc_id long").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([(1, "common words of text 7"), (2, "word1 common")], "query_id long, query string").write.parquet(str(tmp_path / "query_catalog.parquet"))
+    out = catalog.QUERIES["q39_compare_flags"](spark, str(tmp_path))
+    assert "FileScan" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "MapInArrow" not in plan
+    hits = {(r.mode, r.query_id, r.chunk_no): r.in_other for r in out.collect()}
+    assert len(hits) == 20 and all(seen == (("graph" if mode == "vector_bm25" else "vector_bm25", q, c) in hits) for (mode, q, c), seen in hits.items())
